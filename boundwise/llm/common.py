@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,28 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each application, so that it needn't be installed there."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="boundwise-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(path, "w") as out:
+            for source in sorted(top.rglob("*.py")):
+                out.write(source, source.relative_to(top.parent))
+        spark.sparkContext.addPyFile(str(path))
+        _shipped.add(app)
+
+
+def arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow, where f is in this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -124,17 +124,17 @@ def quotas(documents: DataFrame, **options) -> DataFrame:
 def mixed(documents: DataFrame, **options) -> DataFrame:
     """The mix itself, in the columns of documents: each whole pass over a document is a row, and so is each run of words that
     the last pass takes of it, its words joined by one space. n_chars, where there is one, follows the text."""
-    columns = documents.columns
-    docs = plan(documents.withColumn("size", n_words("text")), **options)
+    docs = documents.select(F.struct("*").alias("row"), "doc_id", "source", "text", n_words("text").alias("size"))
+    docs = plan(docs, **options).filter((F.col("taken") > 0) & (F.col("size") > 0))
     piece = lambda back: F.when(inside(back) > 0, F.struct(F.greatest(F.col("lo") - back, F.lit(0)).alias("from"), inside(back).alias("n")))
     whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("from"), F.col("size").alias("n")), F.col("whole").cast("int"))
-    parts = F.concat(whole, F.array_compact(F.array(piece(F.lit(0)), piece(F.col("turn")))))
-    docs = docs.filter((F.col("taken") > 0) & (F.col("size") > 0)).withColumn("_part", F.explode(parts))
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("_part.from") + 1).cast("int"), F.col("_part.n").cast("int"))
-    docs = docs.withColumn("text", F.when(F.col("_part.n") == F.col("size"), F.col("text")).otherwise(F.array_join(words, " ")))
-    if "n_chars" in columns:
-        docs = docs.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
-    return docs.select(*columns)
+    docs = docs.withColumn("part", F.explode(F.concat(whole, F.array_compact(F.array(piece(F.lit(0)), piece(F.col("turn")))))))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("part.from") + 1).cast("int"), F.col("part.n").cast("int"))
+    docs = docs.withColumn("text", F.when(F.col("part.n") == F.col("size"), F.col("text")).otherwise(F.array_join(words, " ")))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in documents.columns:
+        row = row.withField("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
+    return docs.select(row.alias("row")).select("row.*")
 
 
 ORACLE = r"""

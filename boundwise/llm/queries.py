@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import cover_dedup, mixing
 from .common import table
 
 
@@ -14,9 +14,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.quotas(table(spark, sf_dir, "documents"))
 
 
+def op5_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE}
+    return {"op4_mixing": mixing.ORACLE, "op5_cover_dedup": cover_dedup.ORACLE}
