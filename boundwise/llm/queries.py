@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_dedup, mixing
+from . import cover_dedup, lsh_forest, mixing
 from .common import table
 
 
@@ -18,9 +18,13 @@ def op5_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE, "op5_cover_dedup": cover_dedup.ORACLE}
+    return {"op4_mixing": mixing.ORACLE, "op5_cover_dedup": cover_dedup.ORACLE, "op9_lsh_forest": lsh_forest.ORACLE}
