@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_dedup, lsh_forest, mixing
+from . import chunk_bpe, cover_dedup, lsh_forest, mixing
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op5_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.join(table(spark, sf_dir, "documents"))
 
