@@ -103,9 +103,10 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 class Words:
     """Words of Texts: starts, ends (byte places), row (of each word), first (the first word of each row, and the end)."""
 
-    def __init__(self, t: Texts):
+    def __init__(self, t: Texts, of: np.ndarray | None = None):
+        """of: the bytes that words are made of, as 256 flags."""
         n = len(t.data)
-        inside = ~_SPACE[t.data]
+        inside = ~_SPACE[t.data] if of is None else of[t.data]
         begin, end = inside.copy(), inside.copy()
         if n:
             begin[1:] &= ~inside[:-1]

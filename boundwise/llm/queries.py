@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_bpe, cover_dedup, lsh_forest, mixing
+from . import chunk_bpe, cover_dedup, lsh_forest, mil_toxicity, mixing, subword_quality
 from .common import table
 
 
+def op3_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return subword_quality.scored(docs, subword_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.quotas(table(spark, sf_dir, "documents"))
 
@@ -22,6 +27,11 @@ def op7_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mil_toxicity.scored(docs, mil_toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.join(table(spark, sf_dir, "documents"))
 
