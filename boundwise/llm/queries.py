@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_bpe, cover_dedup, lsh_forest, mil_toxicity, mixing, subword_quality
+from . import chunk_bpe, collision_search, cover_dedup, link_trust, lsh_forest, mil_toxicity, mixing, pivot_index, subword_quality
 from .common import table
 
 
+def op1_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judged(table(spark, sf_dir, "pages"))
+
+
 def op3_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return subword_quality.scored(docs, subword_quality.train(docs, table(spark, sf_dir, "labels")))
@@ -36,9 +44,13 @@ def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.join(table(spark, sf_dir, "documents"))
 
 
+def op10_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE, "op5_cover_dedup": cover_dedup.ORACLE, "op9_lsh_forest": lsh_forest.ORACLE}
+    return {"op1_pivot_index": pivot_index.ORACLE, "op4_mixing": mixing.ORACLE, "op5_cover_dedup": cover_dedup.ORACLE, "op9_lsh_forest": lsh_forest.ORACLE}
