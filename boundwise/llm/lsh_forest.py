@@ -173,7 +173,7 @@ def _links(docs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def distinct(documents: DataFrame, **options) -> DataFrame:
-    """The documents, one of each component: the smallest doc_id (of equal rows, one); rows without doc_id and empty texts stay."""
+    """The documents, one of each component: the smallest doc_id. Rows with one doc_id stay or go together; rows without one and empty texts stay."""
     gone = join(documents, **options).filter(~F.col("kept")).select("doc_id").distinct()
     gone = save(gone, "gone")
     small = gone.count() <= BROADCAST_KEYS
