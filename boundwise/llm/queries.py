@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_bpe, collision_search, cover_dedup, link_trust, lsh_forest, mil_toxicity, mixing, pivot_index, subword_quality
+from . import chunk_bpe, collision_search, cover_dedup, link_trust, lsh_forest, mil_toxicity, mixing, pivot_index, rans_store, subword_quality
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_rans_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans_store.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.digests(table(spark, sf_dir, "documents"))
 
