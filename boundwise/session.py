@@ -178,17 +178,18 @@ class Session:
                     follow.append(e)
         view = f"_boundwise_{uuid.uuid4().hex}"
         rows.select(*self.spark.table(table).columns).write.insertInto(table)
+        self.spark.catalog.refreshTable(table)  # rows can be of another session, as a stream's batches are
         self._changes += 1
         try:
-            rows.createOrReplaceTempView(view)
+            rows.createOrReplaceGlobalTempView(view)
             merged = []
             for e in follow:
-                source = _with_table(e.source, view)
+                source = _with_table(e.source, f"global_temp.{view}")
                 delta = reg.build(self.spark, e.kind, source, e.expression, e.params, e.seed, "")
                 merged.append(reg.merge(self.spark, e, delta, self.state(e.source)))
             self._keep(merged)
         finally:
-            self.spark.catalog.dropTempView(view)
+            self.spark.catalog.dropGlobalTempView(view)
         if was_empty:
             self._prewarm(table, hint, named)
         self._forget_stale()
