@@ -27,11 +27,28 @@ NEIGHBOURS = 20
 LEAST = 512
 PROJECTIONS, COLLIDE, VERIFY = 128, 0.5, 0.25
 #: The first window's half width, in standard deviations of a projection, and its growth by round.
-WIDTH, GROWTH = 0.6, 1.07
+WIDTH, GROWTH = 0.6, 1.05
+#: Ranks in a block are 16-bit integers, collisions 8-bit ones.
 BLOCK, QUERIES = 8192, 8192
+STEP = 128
 SEED = 10
 
 
+def _first(holds, last: int, guess: int) -> int:
+    """The first of 0 to last that holds, as all behind it and the last do: steps from a guess, then bisection."""
+    low, high, k, jump = -1, last, guess, 1
+    while high - low > 1:
+        k = min(max(k, low + 1), high - 1)
+        if holds(k):
+            high, k = k, k - jump
+        else:
+            low, k = k, k + jump
+        jump *= 2
+        if low >= 0 and high < last:
+            k = (low + high) // 2
+    return high
+
+
 class Index:
     """Sorted projections of a block of vectors."""
 
@@ -43,38 +60,38 @@ class Index:
         self.lines = np.random.default_rng(seed).standard_normal((y.shape[1], projections))
         self.lines /= np.sqrt((self.lines**2).sum(axis=0))
         at = (y @ self.lines).T
-        self.order = np.argsort(at, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(at, axis=1, kind="stable")
         self.sorted = np.take_along_axis(at, self.order, axis=1)
+        self.ranks = np.empty(self.order.shape, np.uint16)
+        np.put_along_axis(self.ranks, self.order, np.arange(len(x), dtype=np.uint16)[None, :], axis=1)
         self.spread = float(at.std()) or 1.0
 
     def candidates(self, queries: np.ndarray, collide: float = COLLIDE, verify: float = VERIFY, least: int = LEAST):
-        """For each query, the rows that collide often enough."""
+        """For each query, the rows that collide often enough in the first round that has enough of them. Rounds of windows are
+        nested, so that round is found by bisection, near the one of the query before."""
         n, m = len(self.x), len(self.order)
         q = queries / np.sqrt((queries * queries).sum(axis=1, keepdims=True))
         at = q @ self.lines[:-1]
         need, enough = max(1, int(np.ceil(collide * m))), min(n, max(least, int(np.ceil(verify * n))))
-        rounds = 1 + int(np.ceil(np.log(np.maximum(1, np.abs(self.sorted).max() + np.abs(at).max()) / (WIDTH * self.spread)) / np.log(GROWTH)))
-        widths = WIDTH * self.spread * GROWTH ** np.arange(rounds + 1)
-        lows = np.empty((len(widths), len(q), m), np.int32)
-        highs = np.empty_like(lows)
-        for j in range(m):
-            for k, w in enumerate(widths):
-                lows[k, :, j] = np.searchsorted(self.sorted[j], at[:, j] - w, "left")
-                highs[k, :, j] = np.searchsorted(self.sorted[j], at[:, j] + w, "right")
-        for i in range(len(q)):
-            count = np.zeros(n, np.int16)
-            low = high = lows[0, i]
-            for k in range(len(widths)):
-                new_low, new_high = lows[k, i], highs[k, i]
-                parts = [self.order[j, a:b] for j, (a, b) in enumerate(zip(new_low.tolist(), low.tolist(), strict=True)) if b > a]
-                parts += [self.order[j, a:b] for j, (a, b) in enumerate(zip(high.tolist(), new_high.tolist(), strict=True)) if b > a]
-                if parts:
-                    count += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
-                low, high = new_low, new_high
-                found = np.flatnonzero(count >= need)
-                if len(found) >= enough:
-                    break
-            yield found
+        reach = np.abs(self.sorted).max() + (np.abs(at).max() if len(at) else 0)
+        rounds = 1 + max(0, int(np.ceil(np.log(reach / (WIDTH * self.spread)) / np.log(GROWTH))))
+        windows = WIDTH * self.spread * GROWTH ** np.arange(rounds + 1)[:, None]
+        guess = 0
+        for start in range(0, len(q), STEP):
+            some = at[start : start + STEP]
+            lows = np.stack([np.searchsorted(line, some[:, j] - windows, "left") for j, line in enumerate(self.sorted)], axis=2).astype(np.uint16)
+            highs = np.stack([np.searchsorted(line, some[:, j] + windows, "right") for j, line in enumerate(self.sorted)], axis=2).astype(np.uint16)
+            for i in range(len(some)):
+                counts: dict[int, np.ndarray] = {}
+
+                def found(k: int, i: int = i, lows=lows, highs=highs, counts=counts) -> np.ndarray:
+                    if k not in counts:
+                        inside = self.ranks - lows[k, i][:, None] < (highs[k, i] - lows[k, i])[:, None]  # below the window wraps
+                        counts[k] = np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= need)
+                    return counts[k]
+
+                guess = _first(lambda k, found=found: len(found(k)) >= enough, rounds, guess)
+                yield found(guess)
 
     def search(self, queries: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int = NEIGHBOURS):
         """(query's row, id, inner product) of the k best for each query, ties to the smaller id."""

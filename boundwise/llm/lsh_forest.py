@@ -9,7 +9,8 @@ in blocks of bounded size, so that a group's pairs exist only as counters inside
 Copies (equal word sequences) form a class and enter once, by their smallest doc_id.
 
 Defined results: null and empty texts link with nothing; documents of fewer than ``SHINGLE`` words link only with their
-copies; equal rows are copies of each other; rows with one doc_id and different texts share what their texts link with; a row without doc_id takes no part and gets no class; an empty table gives an
+copies; equal rows are copies of each other; rows with one doc_id and different texts are told apart by
+their texts; a row without doc_id takes no part and gets no class; an empty table gives an
 empty result.
 """
 
@@ -130,9 +131,12 @@ def _verified(threshold: float):
 def join(documents: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (smallest doc_id with the same words), n_links (other documents as similar, copies among them),
     component_id (smallest doc_id that links reach), kept (it is that document), for each document."""
+    return _judged(documents, threshold, trees, recall).drop("mark")
+
+
+def _judged(documents: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     depth = prefix_length(threshold, trees, recall=recall)
-    mark = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark.alias("mark"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _mark().alias("mark"))
     signed_ = save(arrow(docs, _signatures(trees, depth), "doc_id long, mark long, c1 long, c2 long, n_words long, bytes long, paths array<long>"), "signatures")
     live = signed_.filter("doc_id is not null and n_words > 0")
     classes = live.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bytes").alias("bytes"), F.first("paths").alias("paths"))
@@ -140,12 +144,12 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, trees: int = TREES,
     found = _links(docs, classes, threshold)
     parts = components(found, "rep", "to").withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    out = signed_.select("doc_id", "c1", "c2", "n_words").join(classes.drop("paths", "bytes", "mark"), ["c1", "c2"], "left")
+    out = signed_.select("doc_id", "mark", "c1", "c2", "n_words").join(classes.drop("paths", "bytes", "mark"), ["c1", "c2"], "left")
     out = out.join(links, "rep", "left").join(parts, "rep", "left")
     alive = F.col("doc_id").isNotNull() & (F.col("n_words") > 0)
     class_id = F.when(alive, F.col("rep")).otherwise(F.col("doc_id"))
     n_links = F.when(alive, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(0)
-    out = out.select("doc_id", class_id.alias("class_id"), n_links.cast("long").alias("n_links"), F.when(alive, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", "mark", class_id.alias("class_id"), n_links.cast("long").alias("n_links"), F.when(alive, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -173,11 +177,17 @@ def _links(docs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def distinct(documents: DataFrame, **options) -> DataFrame:
-    """The documents, one of each component: the smallest doc_id. Rows with one doc_id stay or go together; rows without one and empty texts stay."""
-    gone = join(documents, **options).filter(~F.col("kept")).select("doc_id").distinct()
-    gone = save(gone, "gone")
+    """The documents, one of each component: the smallest doc_id. Equal rows stay or go together; rows without doc_id and empty
+    texts stay."""
+    gone = save(_judged(documents, **options).filter(~F.col("kept")).select("doc_id", "mark").distinct(), "gone")
     small = gone.count() <= BROADCAST_KEYS
-    return documents.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*documents.columns)
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"))
+    return rows.join(F.broadcast(gone) if small else gone, ["doc_id", "mark"], "left_anti").select("row.*")
+
+
+def _mark():
+    """Tells the texts of one doc_id apart."""
+    return F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))
 
 
 ORACLE = r"""
