@@ -269,15 +269,21 @@ def _fresh(spark: SparkSession, schema: str) -> str:
     return name
 
 
-@query("SELECT 'user_id' AS sketch, 4::BIGINT AS n, 3.0::DOUBLE AS answer UNION ALL SELECT 'latency_ms', 4, 30.0")
+_HINTED, _FOLLOWING = "(10, 'a'), (20, 'a'), (30, 'b')", "(40, 'c'), (50, 'a')"
+
+
+@query(f"""SELECT count(DISTINCT user_id)::DOUBLE AS users, count(*) FILTER (WHERE user_id = 'a') AS freq_a, quantile_disc(latency_ms, 0.5)::DOUBLE AS median,
+  count(*) AS n FROM (VALUES {_HINTED}, {_FOLLOWING}) v(latency_ms, user_id)""")
 def hint_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An insert with a hint starts sketches; their answers, rounded."""
+    """An insert with a hint starts sketches, the next one is absorbed; what they say, and how many rows they have seen."""
     session, name = Session(spark, hash_seed=SEED), _fresh(spark, "latency_ms double, user_id string")
-    session.sql(f"INSERT APPROX_HINT((latency_ms, user_id), 0.01, 0.9) INTO {name}(latency_ms, user_id) VALUES (10, 'a'), (20, 'a'), (30, 'b'), (40, 'c')")
-    kept = {(e.kind, e.expression): e.n for e in session.registry.entries.values()}
-    rows = [("user_id", kept[(reg.HLL, "user_id")], float(round(session.count_distinct(name, "user_id", 0.01, 0.9)))), ("latency_ms", kept[(reg.KLL, "latency_ms")], 30.0)]
+    session.sql(f"INSERT APPROX_HINT((latency_ms, user_id), 0.01, 0.9) INTO {name}(latency_ms, user_id) VALUES {_HINTED}")
+    session.sql(f"INSERT INTO {name} VALUES {_FOLLOWING}")
+    seen = {(e.kind, e.expression): e.n for e in session.registry.entries.values()}
+    users = float(round(session.count_distinct(name, "user_id", 0.01, 0.9)))
+    row = (users, session.frequency(name, "user_id", "a", 0.01, 0.9), session.sql(f"SELECT approx_median(latency_ms, 0.01, 0.9) FROM {name}").first()[0], seen[(reg.KLL, "latency_ms")])
     spark.sql(f"DROP TABLE {name}")
-    return spark.createDataFrame(rows, "sketch string, n long, answer double")
+    return spark.createDataFrame([row], "users double, freq_a long, median double, n long")
 
 
 @query(f"WITH {_rho('user_id', 'events')} SELECT idx, rho FROM regs")

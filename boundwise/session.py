@@ -7,6 +7,7 @@ import os
 import random
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,7 @@ class Session:
         self.spark, self.registry, self.last_error = spark, reg.Registry(), "not an error"
         self.store = Store(spark, root) if root and root != ":memory:" else None
         self._open, self._changes, self._batches = True, 0, {}
+        self._builders = ThreadPoolExecutor(4)  # jobs of several sketches side by side
         ship(spark)
         kept = self.store.seed() if self.store else None
         self.seed = hash_seed or int(os.environ.get(SEED_VARIABLE, 0)) or kept or random.getrandbits(31) or 1
@@ -45,6 +47,7 @@ class Session:
     def close(self) -> None:
         """Safe to call again."""
         self._open = False
+        self._builders.shutdown()
         self.registry = reg.Registry()
 
     def __enter__(self) -> Session:
@@ -182,12 +185,13 @@ class Session:
         self._changes += 1
         try:
             rows.createOrReplaceGlobalTempView(view)
-            merged = []
-            for e in follow:
-                source = _with_table(e.source, f"global_temp.{view}")
-                delta = reg.build(self.spark, e.kind, source, e.expression, e.params, e.seed, "")
-                merged.append(reg.merge(self.spark, e, delta, self.state(e.source)))
-            self._keep(merged)
+            after = {source: self.state(source) for source in before}
+
+            def followed(e: reg.Entry) -> reg.Entry:
+                delta = reg.build(self.spark, e.kind, _with_table(e.source, f"global_temp.{view}"), e.expression, e.params, e.seed, "")
+                return reg.merge(self.spark, e, delta, after[e.source])
+
+            self._keep(list(self._builders.map(followed, follow)))
         finally:
             self.spark.catalog.dropGlobalTempView(view)
         if was_empty:
@@ -198,16 +202,14 @@ class Session:
         held = {c.lower() for c in self.spark.table(table).columns}
         hint = hint or st.Hint(tuple(named or ()), bounds.DEFAULT_EPSILON, bounds.DEFAULT_CONFIDENCE)
         source, started = f"FROM {table}", []
+        state = self.state(source)
         for column in hint.columns:
             for kind in (reg.HLL, reg.KLL, reg.FREQUENCY):
                 needed = reg.required_for(kind, hint.epsilon, hint.confidence)
-                state = self.state(source)
-                if column not in held or needed is None or self.registry.find(kind, normalised(source), normalised(column), self.seed, state, needed):
-                    continue
-                entry = reg.build(self.spark, kind, source, column, needed, self.seed, state)
-                if entry.n:
-                    started.append(entry)
-        self._keep(started)
+                if column in held and needed and not self.registry.find(kind, normalised(source), normalised(column), self.seed, state, needed):
+                    started.append((kind, column, needed))
+        built = self._builders.map(lambda x: reg.build(self.spark, x[0], source, x[1], x[2], self.seed, state), started)
+        self._keep([e for e in built if e.n])
 
     def append_batch(self, stream: str, batch: int, rows: DataFrame, table: str, hint: st.Hint | None = None) -> bool:
         """append, once for each batch of a stream in this session; whether it did."""
