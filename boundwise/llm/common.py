@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import shipping
+
 #: A word is a longest run of bytes other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on; its arrays take some 60 times as much.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 250_000
+#: Rows that Spark hands to Python at once, where the session doesn't say.
+BATCH_ROWS = "2000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,26 +40,21 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
+def arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow, where f is in this package, over batches that a worker can hold beside others."""
+    _small_batches(df.sparkSession)
+    return shipping.arrow(df, f, schema)
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each application, so that it needn't be installed there."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        top = Path(__file__).resolve().parents[1]
-        path = Path(tempfile.mkdtemp(prefix="boundwise-")) / f"{top.name}.zip"
-        with zipfile.ZipFile(path, "w") as out:
-            for source in sorted(top.rglob("*.py")):
-                out.write(source, source.relative_to(top.parent))
-        spark.sparkContext.addPyFile(str(path))
-        _shipped.add(app)
+    _small_batches(spark)
+    shipping.ship(spark)
 
 
-def arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow, where f is in this package."""
-    ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -137,7 +134,7 @@ class Rolling:
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, values: np.ndarray, seed: int = 0):
-        base = (0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1E * seed) % 2**64 | 1
+        base = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)[seed % 2]  # two for all seeds: the values differ by seed, too
         have = self._powers.get(base)
         if have is None or len(have[0]) <= len(values):
             n = max(1 << 16, 1 << int(len(values)).bit_length())
