@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -27,12 +28,14 @@ SEED_VARIABLE = "BOUNDWISE_HASH_SEED"
 
 
 class Session:
-    """root: a folder for sketches that outlive the session; without it they live in memory."""
+    """root: a folder for sketches that outlive the session; without it they live in memory. recheck: for so many seconds
+    value() trusts that nobody else has changed a source since it last looked at its files."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, hash_seed: int | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None, hash_seed: int | None = None, recheck: float = 0):
         self.spark, self.registry, self.last_error = spark, reg.Registry(), "not an error"
         self.store = Store(spark, root) if root and root != ":memory:" else None
         self._open, self._changes, self._batches = True, 0, {}
+        self.recheck, self._values = recheck, {}
         self._builders = ThreadPoolExecutor(4)  # jobs of several sketches side by side
         ship(spark)
         kept = self.store.seed() if self.store else None
@@ -154,6 +157,22 @@ class Session:
         kind = "long" if call.name == FREQ else "double"
         return self.spark.createDataFrame([(got,)], f"{call.name} {kind}")
 
+    def value(self, text: str) -> object:
+        """What a kept sketch says to SELECT call FROM source [WHERE condition]: a number, or the rows of a top-k. While the answer
+        is trusted, asking again neither plans nor runs anything."""
+        if not self._open:
+            raise MisuseError("the session is closed")
+        changes, until, value = self._values.get(text, (-1, 0.0, None))
+        if changes == self._changes and time.monotonic() < until:
+            return value
+        lone = st.lone_call(st.plan(text))
+        entry = self.sketch(*lone) if lone else None
+        if entry is None:
+            raise QueryError("not a statement that one kept sketch answers")
+        value = reg.answer(self.spark, entry, lone[0])
+        self._values[text] = (self._changes, time.monotonic() + self.recheck, value)
+        return value
+
     # changes
 
     def _insert(self, insert: st.Insert) -> DataFrame:

@@ -172,3 +172,17 @@ def test_windowed_stream_equals_batch(spark, tmp_path):
     got = {(r.start, r.n, r.distinct) for r in estimates(spark.table("weeks"), 0.5).collect()}
     want = {(r.start, r.n, r.distinct) for r in estimates(windowed(events, "ts", "user_id", "7 days", "365 days", 0.05, 0.9), 0.5).collect()}
     assert got == want and len(got) > 1
+
+
+def test_values_are_trusted_for_a_while(spark, table):
+    t = table("v long", [(1,), (2,)])
+    ask = f"SELECT approx_count_distinct(v, 0.05, 0.9) FROM {t}"
+    careful, trusting = Session(spark, hash_seed=5), Session(spark, hash_seed=5, recheck=600)
+    assert careful.value(ask) == trusting.value(ask) == 2.0
+    spark.createDataFrame([(7,)], "v long").write.insertInto(t)  # behind the sessions' backs
+    assert careful.value(ask) == 3.0 and trusting.value(ask) == 2.0
+    trusting.sql(f"INSERT INTO {t} VALUES (8)")
+    assert trusting.value(ask) == 4.0
+    assert trusting.value(f"SELECT approx_top_k(v, 1, 0.05, 0.9) FROM {t}") == [("1", 1, 0)]
+    with pytest.raises(QueryError):
+        careful.value("SELECT 1")
