@@ -83,11 +83,11 @@ def propagated(seeds: DataFrame, edges: DataFrame, follow: float = FOLLOW, round
     shares = save(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
     start = ranks
     for _ in range(rounds):
-        moved = shares.join(ranks.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("mass") * F.col("share")) * follow).alias("mass"))
-        new = save(start.unionByName(moved).groupBy("host").agg(F.sum("mass").alias("mass")), "ranks")
-        before = ranks.withColumnRenamed("mass", "old")
-        moved_by = new.join(before, "host", "full").agg(F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        ranks = new
+        moved = shares.join(ranks.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("mass") * F.col("share") * follow).alias("mass"))
+        rows = start.unionByName(moved).withColumn("old", F.lit(0.0)).unionByName(ranks.select("host", F.lit(0.0).alias("mass"), F.col("mass").alias("old")))
+        both = save(rows.groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old")), "ranks")
+        moved_by = both.agg(F.sum(F.abs(F.col("mass") - F.col("old")))).first()[0]
+        ranks = both.select("host", "mass")
         if moved_by < change * total:
             break
     return ranks
