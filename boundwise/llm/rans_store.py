@@ -36,6 +36,8 @@ from .rans import decode_blocks, encode_blocks, quantised
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 BLOCK, SEGMENT = 1 << 16, 1 << 20
+#: Bytes of text at a time: each step looks its pre-tokens up among all that are known.
+STEP = 1 << 20
 MAGIC, VERSION = b"BWTI", 1
 _HEAD = struct.Struct("<4sIQQQIII")
 _NO_ID = -(2**63)
@@ -44,7 +46,7 @@ _NO_ID = -(2**63)
 def _tokenised(path: str, end_id: int):
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, pack = encoder(path), zstandard.ZstdCompressor(level=3)
-        for t in texts(batches):
+        for t in texts(batches, step=STEP):
             ids, count = own.encode(t)
             after = np.cumsum(count + 1)
             out = np.full(len(ids) + len(count), end_id, np.uint32)
