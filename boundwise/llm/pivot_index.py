@@ -70,7 +70,7 @@ def _verified(threshold: float, shared: int, rank: list[int]):
                 continue
             rows = pa.array(own)
             x = _unit(matrix(group.column("v").take(rows)))
-            near = place[matrix(group.column("near").take(rows))]
+            near = place[matrix(group.column("near").take(rows)).astype(np.int64)]
             has = np.zeros((len(own), len(rank)), np.float32)
             np.put_along_axis(has, near, 1, axis=1)
             linked = (has @ has.T >= shared) & (x @ x.T >= threshold)
@@ -117,7 +117,7 @@ def _links(classes: DataFrame, threshold: float, pivots: int, nearest: int, shar
     width = max(map(len, sample))
     sample = [list(p) + [0.0] * (width - len(p)) for p in _unit(np.array([list(p) + [0.0] * (width - len(p)) for p in sample])).tolist()]
     shared = min(shared, len(sample), nearest)
-    near = save(arrow(classes.select("label", "rep", "copies", "v"), _near_pivots(sample, nearest), f"label {classes.schema['label'].dataType.simpleString()}, rep long, copies long, v array<double>, near array<int>"), "near")
+    near = save(arrow(classes.select("label", "rep", "copies", "v"), _near_pivots(sample, nearest), f"label {classes.schema['label'].dataType.simpleString()}, rep long, copies long, v {classes.schema['v'].dataType.simpleString()}, near array<int>"), "near")
     often = {r.p: r.n for r in near.select(F.explode("near").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = sorted(range(len(sample)), key=lambda p: (often.get(p, 0), p))
     rank = [0] * len(sample)

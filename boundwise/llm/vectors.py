@@ -16,13 +16,15 @@ def usable(column: str) -> Column:
 
 
 def vectors(df: DataFrame, *others: str) -> DataFrame:
-    """vec_id and the others, v (doubles) and ok: whether the vector is usable and has an id."""
-    out = df.select(F.col("vec_id").cast("long").alias("vec_id"), *others, F.col("embedding").cast("array<double>").alias("v"))
+    """vec_id and the others, v (floats or doubles, as given; other numbers as doubles) and ok: whether the vector is usable and has
+    an id. Floats stay floats on their way through shuffles; all arithmetic is on doubles."""
+    given = F.col("embedding") if df.schema["embedding"].dataType.simpleString() == "array<float>" else F.col("embedding").cast("array<double>")
+    out = df.select(F.col("vec_id").cast("long").alias("vec_id"), *others, given.alias("v"))
     return out.withColumn("ok", usable("v") & F.col("vec_id").isNotNull())
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Lists of equal length as rows."""
+    """Lists of equal length as rows of doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
