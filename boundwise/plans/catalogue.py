@@ -72,7 +72,7 @@ _EXACT = {
     "exact_freq": "SELECT count(*) AS n FROM events WHERE event_type = 'click'",
     "exact_topk": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10",
     "exact_join_window": """SELECT n_name, o_orderkey, total, nth FROM (SELECT n_name, o_orderkey, round(o_totalprice, 2) AS total,
-        row_number() OVER (PARTITION BY n_name ORDER BY o_totalprice DESC, o_orderkey) AS nth
+        CAST(row_number() OVER (PARTITION BY n_name ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS nth
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) x WHERE nth <= 3""",
     "exact_setops_cube": """SELECT coalesce(l_returnflag, '-') AS flag, coalesce(l_linestatus, '-') AS status, count(*) AS n FROM lineitem
         GROUP BY CUBE (l_returnflag, l_linestatus) UNION ALL SELECT 'all', 'all', count(*) FROM orders""",
