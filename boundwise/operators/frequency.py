@@ -14,12 +14,12 @@ from ..shipping import arrow
 
 
 def cells(df: DataFrame, value: Column, width: int, depth: int, by: list[str] | None = None, seed: int = 0, portable: bool = False) -> DataFrame:
-    """(by..., row, bucket, c): the non-zero cells. Values are counted first, so a hot one is hashed and shuffled once a task."""
+    """(by..., row, bucket, c): the non-zero cells. Each value becomes depth rows that are counted where they are: a task shuffles at
+    most width * depth rows of a group, however many different values it has."""
     by = by or []
-    counts = df.select(*by, value.alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
     buckets = F.array(*[F.pmod(hashed(F.col("_v"), seed + r, portable), F.lit(width)) for r in range(depth)])
-    rows = counts.select(*by, "_c", F.posexplode(buckets).alias("row", "bucket"))
-    return rows.groupBy(*by, "row", "bucket").agg(F.sum("_c").alias("c"))
+    rows = df.select(*by, value.alias("_v")).filter("_v is not null").select(*by, F.posexplode(buckets).alias("row", "bucket"))
+    return rows.groupBy(*by, "row", "bucket").agg(F.count(F.lit(1)).alias("c"))
 
 
 def merged_cells(cells_: DataFrame, by: list[str] | None = None) -> DataFrame:
