@@ -16,7 +16,7 @@ _PLAIN = 0x3000
 #: What the pre-tokenizer's pattern splits off behind an apostrophe.
 _AFTER = ("s", "t", "re", "ve", "m", "ll", "d")
 #: So many pre-tokens are remembered at most, by process.
-KEPT = 1_000_000
+KEPT = 2_000_000
 
 
 class PieceEncoder:
@@ -119,9 +119,10 @@ class PieceEncoder:
 
     @staticmethod
     def _distinct(t: Texts, starts: np.ndarray, ends: np.ndarray):
-        keys, checks = (Rolling(_BYTES[s][t.data], s).spans(starts, ends) for s in (0, 1))
-        _, once, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        return (keys[once], checks[once]), inverse, once
+        keys, inverse = np.unique(Rolling(_BYTES[0][t.data]).spans(starts, ends), return_inverse=True)
+        once = np.empty(len(keys), np.int64)
+        once[inverse] = np.arange(len(starts))
+        return (keys, Rolling(_BYTES[1][t.data], 1).spans(starts[once], ends[once])), inverse, once
 
 
 @lru_cache(maxsize=2)
