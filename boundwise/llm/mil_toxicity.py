@@ -111,7 +111,7 @@ def fit(sample: pa.Table, class_weights: dict[int, float], seed: int = SEED) ->
         pairs = np.unique(np.stack([s.sentence, s.buckets]), axis=1)
         cut = np.searchsorted(s.row[pairs[0]] if len(s.row) else pairs[0], np.arange(len(t) + 1))
         at = np.searchsorted(s.row, np.arange(len(t) + 1))
-        docs += [(pairs[1, cut[i] : cut[i + 1]], pairs[0, cut[i] : cut[i + 1]] - at[i], at[i + 1] - at[i]) for i in range(len(t))]
+        docs += [(pairs[1, cut[i] : cut[i + 1]].astype(np.int32), (pairs[0, cut[i] : cut[i + 1]] - at[i]).astype(np.int32), at[i + 1] - at[i]) for i in range(len(t))]
     y = np.array(sample["label"].to_pylist())
     in_docs, n_docs = np.zeros((2, 1 << BITS)), np.bincount(y, minlength=2)
     for (buckets, _, _), label in zip(docs, y, strict=True):

@@ -77,22 +77,29 @@ def fit(sample: pa.Table, weights: dict[int, float], epochs: int = EPOCHS, rate:
     if len(weights) < 2:
         one = 0.5 if not weights else 0.999 if 1 in weights else 0.001
         return Model(np.zeros(size), float(np.log(one / (1 - one))))
-    docs: list[tuple[np.ndarray, np.ndarray]] = []
+    buckets_of, shares_of, counts = [], [], []
     for t in texts(iter(sample.to_batches())):
-        sets = list(features(t))
+        sets, own = list(features(t)), []
         for i in range(len(t)):
             found = [np.unique(b[f[i] : f[i + 1]], return_counts=True) for b, f in sets]
-            docs.append((np.concatenate([b for b, _ in found]), np.concatenate([n / max(1, n.sum()) for _, n in found]).astype(np.float32) / KINDS))
+            own.append((np.concatenate([b for b, _ in found]).astype(np.int32), np.concatenate([n / max(1, n.sum()) for _, n in found]).astype(np.float32) / KINDS))
+        buckets_of.append(np.concatenate([b for b, _ in own]))
+        shares_of.append(np.concatenate([x for _, x in own]))
+        counts += [len(b) for b, _ in own]
+    # two large arrays rather than many small ones, so that their memory goes back
+    all_buckets, all_shares = np.concatenate(buckets_of), np.concatenate(shares_of)
+    del buckets_of, shares_of
+    at = np.concatenate([[0], np.cumsum(counts)])
     y = np.array(sample["label"].to_pylist())
     weight = np.array([weights[k] for k in y])
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (size, DIMENSIONS)).astype(np.float32)
     out, bias = np.zeros((2, DIMENSIONS), np.float32), np.array([np.log(1e-9 + weight[y == k].sum() / weight.sum()) for k in (0, 1)], np.float32)
-    epochs = max(epochs, -(-LEAST_STEPS // len(docs)))
-    steps, step = epochs * len(docs), 0
+    epochs = max(epochs, -(-LEAST_STEPS // len(counts)))
+    steps, step = epochs * len(counts), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(docs)):
-            buckets, share = docs[i]
+        for i in rng.permutation(len(counts)):
+            buckets, share = all_buckets[at[i] : at[i + 1]], all_shares[at[i] : at[i + 1]]
             lr = rate * (1 - step / steps) * min(2.0, weight[i])
             step += 1
             mean = share @ vectors[buckets]
