@@ -28,7 +28,6 @@ LEAST = 512
 PROJECTIONS, COLLIDE, VERIFY = 128, 0.5, 0.25
 #: The first window's half width, in standard deviations of a projection, and its growth by round.
 WIDTH, GROWTH = 0.6, 1.05
-#: Ranks in a block are 16-bit integers, collisions 8-bit ones.
 BLOCK, QUERIES = 8192, 8192
 STEP = 128
 SEED = 10
@@ -62,8 +61,8 @@ class Index:
         at = (y @ self.lines).T
         self.order = np.argsort(at, axis=1, kind="stable")
         self.sorted = np.take_along_axis(at, self.order, axis=1)
-        self.ranks = np.empty(self.order.shape, np.uint16)
-        np.put_along_axis(self.ranks, self.order, np.arange(len(x), dtype=np.uint16)[None, :], axis=1)
+        self.ranks = np.empty(self.order.shape, np.uint16 if len(x) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.ranks, self.order, np.arange(len(x), dtype=self.ranks.dtype)[None, :], axis=1)
         self.spread = float(at.std()) or 1.0
 
     def candidates(self, queries: np.ndarray, collide: float = COLLIDE, verify: float = VERIFY, least: int = LEAST):
@@ -79,8 +78,8 @@ class Index:
         guess = 0
         for start in range(0, len(q), STEP):
             some = at[start : start + STEP]
-            lows = np.stack([np.searchsorted(line, some[:, j] - windows, "left") for j, line in enumerate(self.sorted)], axis=2).astype(np.uint16)
-            highs = np.stack([np.searchsorted(line, some[:, j] + windows, "right") for j, line in enumerate(self.sorted)], axis=2).astype(np.uint16)
+            lows = np.stack([np.searchsorted(line, some[:, j] - windows, "left") for j, line in enumerate(self.sorted)], axis=2).astype(self.ranks.dtype)
+            highs = np.stack([np.searchsorted(line, some[:, j] + windows, "right") for j, line in enumerate(self.sorted)], axis=2).astype(self.ranks.dtype)
             for i in range(len(some)):
                 counts: dict[int, np.ndarray] = {}
 
@@ -129,7 +128,8 @@ def nearest(embeddings: DataFrame, queries: Column | None = None, k: int = NEIGH
     asked = rows.filter(ask).distinct()
     n, n_asked = rows.count(), asked.count()
     blocks, sets = max(1, -(-n // BLOCK)), max(1, -(-n_asked // QUERIES))
-    held = rows.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    # by place in the saved table, so that rows of one vec_id spread as well
+    held = rows.withColumn("b", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
     asked = asked.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(sets)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     both = held.withColumn("query", F.lit(False)).unionByName(asked.withColumn("query", F.lit(True)))
     ship(embeddings.sparkSession)
