@@ -154,8 +154,7 @@ class Session:
         if call.name == TOP_K:
             rows = self.spark.createDataFrame(got, "value string, estimate long, error long")
             return rows.withColumn("value", F.col("value").cast(entry.value_type))
-        kind = "long" if call.name == FREQ else "double"
-        return self.spark.createDataFrame([(got,)], f"{call.name} {kind}")
+        return self.spark.sql(f"SELECT {got}{'L' if call.name == FREQ else 'D'} AS {call.name}")  # a literal: no job
 
     def value(self, text: str) -> object:
         """What a kept sketch says to SELECT call FROM source [WHERE condition]: a number, or the rows of a top-k. While the answer

@@ -100,12 +100,15 @@ def build(spark: SparkSession, kind: str, source: str, expression: str, params:
     value_type = rows.schema["v"].dataType.simpleString()
     entry = Entry(kind, normalised(source), normalised(expression), params, seed, state, 0, value_type)
     if kind == HLL:
-        got = rows.agg(hll.native(F.col("v"), params["p"], seed).alias("s"), F.count("v").alias("n")).first()
-        return replace(entry, sketch=bytes(got.s or b""), n=got.n)
+        got = rows.agg(hll.native(F.col("v"), params["p"], seed).alias("s"), F.count("v").alias("n"))
+        got = got.select("s", "n", F.hll_sketch_estimate("s").alias("estimate")).first()
+        return replace(entry, sketch=bytes(got.s or b""), n=got.n, answers={(DISTINCT, None, None): float(got.estimate or 0)})
     if kind == KLL:
         rows = rows.select(quantiles.finite(F.col("v")).alias("v")).filter("v is not null")
-        got = rows.agg(F.kll_sketch_agg_double("v", F.lit(params["k"])).alias("s"), F.count("v").alias("n")).first()
-        return replace(entry, sketch=bytes(got.s or b"") if got.n else b"", n=got.n)
+        got = rows.agg(F.kll_sketch_agg_double("v", F.lit(params["k"])).alias("s"), F.count("v").alias("n"))
+        said = [F.expr(f"if(n = 0, 0D, kll_sketch_get_quantile_double(s, {p}D))").alias(name) for name, p in QUARTILES.items()]
+        got = got.select("s", "n", *said).first()
+        return replace(entry, sketch=bytes(got.s or b"") if got.n else b"", n=got.n, answers={(name, None, None): got[name] for name in QUARTILES})
     return _with_frequencies(entry, rows.select(F.col("v").cast("string").alias("v")))
 
 
