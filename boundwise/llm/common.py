@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,7 +45,23 @@ def save(df: DataFrame, name: str) -> DataFrame:
 def arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """df.mapInArrow, where f is in this package, over batches that a worker can hold beside others."""
     _small_batches(df.sparkSession)
-    return shipping.arrow(df, f, schema)
+    return shipping.arrow(df, _released(f), schema)
+
+
+def _released(f: Callable) -> Callable:
+    """f, and behind its last batch what the process has freed goes back to the system: workers stay for later tasks, and what
+    they keep adds to the next operator's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        Rolling._powers.clear()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return run
 
 
 def ship(spark: SparkSession) -> None:

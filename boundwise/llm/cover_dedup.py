@@ -27,7 +27,7 @@ WINDOW = 50
 #: A perfect difference set.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
-STEP = 1_000_000
+STEP = 500_000
 #: Up to so many documents with repeated anchors, their keys are broadcast; beyond, both sides are shuffled.
 BROADCAST_KEYS = 500_000
 
