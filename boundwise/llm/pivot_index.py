@@ -7,6 +7,13 @@ among the ``NEAREST - SHARED + 1`` rarest of both, so a vector enters only those
 its rarest common pivot. Long lists are cut into blocks and compared block by block; links exist as counters and spanning
 edges only.
 
+Where many pivots are close to a vector, as in a large group of near copies, which of them are nearest says little. Up to
+2 ``NEAREST`` - ``SHARED`` close pivots two choices of ``NEAREST`` share enough in any case; a vector with more of them within
+``CLOSE`` times the angle of the threshold is dense. All that a dense vector can link with has as many pivots within one such
+angle more, and those vectors, its dense ones and their surroundings, are compared with each other exactly: in the cells of
+far-apart pivots, where a vector is in the cell of its nearest one, its home, and in all others that a vector it links with
+may have as home, by the triangle inequality. Dense vectors enter only these lists, their surroundings both kinds.
+
 The pivots are a bounded sample, the vectors with the smallest hashes of vec_id. All vectors are indexed. Equal vectors of
 one label enter once, with their number.
 
@@ -31,6 +38,9 @@ from .vectors import matrix, vectors
 THRESHOLD = 0.98
 PIVOTS, NEAREST, SHARED = 256, 10, 3
 BLOCK = 1024
+#: Angles here are in multiples of the threshold's. Centres of cells are further apart than twice this.
+CLOSE = 3
+_SLACK = 1e-6
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -38,19 +48,52 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _near_pivots(pivots: list[list[float]], nearest: int):
+def _centres(pivots: np.ndarray, apart: float) -> np.ndarray:
+    """The first pivot and each next one that is further from those taken."""
+    taken: list[int] = []
+    for p in np.flatnonzero(pivots.any(axis=1)).tolist():
+        if not taken or (pivots[taken] @ pivots[p]).max() < np.cos(min(apart, np.pi)):
+            taken.append(p)
+    return np.array(taken, np.int64)
+
+
+def _near_pivots(pivots: list[list[float]], nearest: int, shared: int, threshold: float):
+    link = float(np.arccos(threshold))
+
+    def of_length(d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = np.array([(p + [0.0] * d)[:d] for p in pivots])
+        unit = own / np.maximum(np.sqrt((own * own).sum(axis=1, keepdims=True)), 1e-300)
+        return own, unit, _centres(unit, 2 * CLOSE * link)
+
     def near_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many, known = 2 * nearest - shared + 1, {}
         for batch in batches:
             v = batch.column("v")
             sizes = v.value_lengths().to_numpy()
             out = np.zeros((len(batch), min(nearest, len(pivots))), np.int32)
+            dense, home = np.zeros(len(batch), np.int32), np.full(len(batch), -1, np.int32)
+            cells: list[list[int]] = [[]] * len(batch)
             for d in np.unique(sizes):
                 rows = np.flatnonzero(sizes == d)
-                own = np.array([(p + [0.0] * d)[:d] for p in pivots])
-                near = _unit(matrix(v.take(pa.array(rows)))) @ own.T
+                own, unit, centres = known[d] = known.get(d) or of_length(int(d))
+                x = _unit(matrix(v.take(pa.array(rows))))
+                near = x @ own.T
                 out[rows] = np.argsort(-near, axis=1, kind="stable")[:, : out.shape[1]]
+                if len(pivots) < many:
+                    continue
+                angle = np.where(unit.any(axis=1), np.arccos(np.clip(x @ unit.T, -1, 1)), np.inf)
+                far = np.partition(angle, many - 1, axis=1)[:, many - 1]
+                dense[rows] = (far <= CLOSE * link) + (far <= (CLOSE + 1) * link + _SLACK).astype(np.int32)
+                some = np.flatnonzero(dense[rows])
+                if not len(some):
+                    continue
+                to = angle[some][:, centres]
+                home[rows[some]] = centres[to.argmin(axis=1)]
+                enters = (to <= to.min(axis=1, keepdims=True) + 2 * link + _SLACK) & (centres <= home[rows[some], None])
+                for i, e in zip(rows[some].tolist(), enters, strict=True):
+                    cells[i] = centres[e].tolist()
             lists = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), out.shape[1]).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "near"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(dense), pa.array(home), pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "near", "dense", "home", "cells"])
 
     return near_pivots
 
@@ -59,7 +102,7 @@ def _verified(threshold: float, shared: int, rank: list[int]):
     def verified(group: pa.Table) -> pa.Table:
         """Links inside some short lists, or between two blocks of a long one."""
         place = np.array(rank)
-        rep, copies, part, lo, list_id, pivot = (group.column(c).to_numpy() for c in ("rep", "copies", "part", "lo", "list_id", "pivot"))
+        rep, copies, part, lo, list_id, pivot, dense, home = (group.column(c).to_numpy() for c in ("rep", "copies", "part", "lo", "list_id", "pivot", "dense", "home"))
         order = np.lexsort((rep, list_id))
         ends = np.append(np.flatnonzero(np.diff(list_id[order])) + 1, len(order))
         out, begin = [], 0
@@ -70,12 +113,18 @@ def _verified(threshold: float, shared: int, rank: list[int]):
                 continue
             rows = pa.array(own)
             x = _unit(matrix(group.column("v").take(rows)))
-            near = place[matrix(group.column("near").take(rows)).astype(np.int64)]
-            has = np.zeros((len(own), len(rank)), np.float32)
-            np.put_along_axis(has, near, 1, axis=1)
-            linked = (has @ has.T >= shared) & (x @ x.T >= threshold)
-            before = has[:, : place[pivot[own[0]]]]
-            linked &= before @ before.T == 0
+            linked = x @ x.T >= threshold
+            if pivot[own[0]] < 0:  # a cell; a pair counts in the first of its two homes
+                linked &= np.minimum(home[own][:, None], home[own][None, :]) == -1 - pivot[own[0]]
+            else:
+                near = place[matrix(group.column("near").take(rows)).astype(np.int64)]
+                has = np.zeros((len(own), len(rank)), np.float32)
+                np.put_along_axis(has, near, 1, axis=1)
+                linked &= has @ has.T >= shared
+                before = has[:, : place[pivot[own[0]]]]
+                linked &= before @ before.T == 0
+                in_cells = dense[own] > 0
+                linked &= ~(in_cells[:, None] & in_cells[None, :])
             np.fill_diagonal(linked, False)
             left = part[own] == lo[own]
             if not left.all():
@@ -117,15 +166,17 @@ def _links(classes: DataFrame, threshold: float, pivots: int, nearest: int, shar
     width = max(map(len, sample))
     sample = [list(p) + [0.0] * (width - len(p)) for p in _unit(np.array([list(p) + [0.0] * (width - len(p)) for p in sample])).tolist()]
     shared = min(shared, len(sample), nearest)
-    near = save(arrow(classes.select("label", "rep", "copies", "v"), _near_pivots(sample, nearest), f"label {classes.schema['label'].dataType.simpleString()}, rep long, copies long, v {classes.schema['v'].dataType.simpleString()}, near array<int>"), "near")
-    often = {r.p: r.n for r in near.select(F.explode("near").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    near = save(arrow(classes.select("label", "rep", "copies", "v"), _near_pivots(sample, nearest, shared, threshold), f"label {classes.schema['label'].dataType.simpleString()}, rep long, copies long, v {classes.schema['v'].dataType.simpleString()}, near array<int>, dense int, home int, cells array<int>"), "near")
+    often = {r.p: r.n for r in near.filter("dense < 2").select(F.explode("near").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = sorted(range(len(sample)), key=lambda p: (often.get(p, 0), p))
     rank = [0] * len(sample)
     for i, p in enumerate(order):
         rank[p] = i
     ranks = F.array(*map(F.lit, rank))
     rarest = F.slice(F.array_sort(F.transform("near", lambda p: F.struct(F.get(ranks, p).alias("rank"), p.alias("p")))), 1, max(1, min(nearest, len(sample)) - shared + 1))
-    lists = near.withColumn("pivot", F.explode(F.transform(rarest, lambda x: x["p"]))).withColumn("list_id", F.xxhash64("label", F.size("v"), "pivot"))
+    by_pivot = F.when(F.col("dense") < 2, F.transform(rarest, lambda x: x["p"])).otherwise(F.array().cast("array<int>"))
+    lists = near.withColumn("pivot", F.explode(F.concat(by_pivot, F.transform("cells", lambda c: -1 - c))))
+    lists = lists.withColumn("near", F.when(F.col("pivot") >= 0, F.col("near"))).withColumn("list_id", F.xxhash64("label", F.size("v"), "pivot"))
     size = lists.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("list_id", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     total = near.count() * max(1, nearest - shared + 1)
     lists = lists.join(size, "list_id").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -135,7 +186,7 @@ def _links(classes: DataFrame, threshold: float, pivots: int, nearest: int, shar
     lists = lists.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.col("list_id"), F.lit(bins))).otherwise(F.lit(None).cast("long")))
     lists = lists.withColumn("own", F.when(F.col("blocks") > 1, F.col("list_id")))
     ship(classes.sparkSession)
-    columns = ["bin", "own", "lo", "hi", "rep", "copies", "part", "list_id", "pivot", "v", "near"]
+    columns = ["bin", "own", "lo", "hi", "rep", "copies", "part", "list_id", "pivot", "dense", "home", "v", "near"]
     return save(lists.select(*columns).groupBy("bin", "own", "lo", "hi").applyInArrow(_verified(threshold, shared, rank), "rep long, links long, to long"), "links")
 
 

@@ -60,6 +60,26 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
     assert np.mean([got[i][1] == ids[parts[k]] for k, i in enumerate(ids)]) >= 0.99
 
 
+@pytest.mark.parametrize("to_centre", [0.985, 0.992, 0.998])
+def test_a_third_of_the_rows_are_distinct_near_copies(spark, to_centre):
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
+    x, centre = unit(rng.standard_normal((2400, 64))), unit(rng.standard_normal(64))
+    off = x[:800] - np.outer(x[:800] @ centre, centre)
+    x[:800] = to_centre * centre + np.sqrt(1 - to_centre**2) * unit(off)
+    # around the group, at its edge and away from it, pairs of which one is in the cells and the other need not be
+    x[800:1200] = unit(x[800:1200] + np.linspace(0.2, 4, 400)[:, None] * centre)
+    x[1200:1600] = unit(x[800:1200] + 0.02 * rng.standard_normal((400, 64)))
+    x = x.astype(np.float32)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivot_index.near_duplicates(frame(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)])).collect()}
+    x = unit(x.astype(float))
+    linked = x @ x.T >= 0.98
+    np.fill_diagonal(linked, False)
+    assert [got[i][0] for i in range(800)] == linked[:800].sum(axis=1).tolist()
+    assert sum(n for n, _ in got.values()) >= 0.999 * linked.sum() and all(got[i][0] <= linked[i].sum() for i in got)
+    assert [got[i][1] for i in range(800)] == forest(len(x), *np.nonzero(linked))[:800].tolist()
+
+
 def test_near_duplicates_match_sql(spark):
     sf = "/root/testdata/sf0.1"
     assert_same(pivot_index.near_duplicates(table(spark, sf, "embeddings")), pivot_index.ORACLE, sf)
