@@ -72,8 +72,9 @@ def _signatures(trees: int, depth: int):
     return signatures
 
 
-def _linked(sets: list[np.ndarray], threshold: float, left: np.ndarray) -> np.ndarray:
-    """Which pairs are as similar: a matrix. left: with two blocks, pairs within a block are left out; all True or all False: one block."""
+def _linked(sets: list[np.ndarray], threshold: float, left: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs are as similar: a matrix. left: which are of the first of two blocks, either of which may be empty; pairs within a
+    block are left out."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.float64)
     common = np.zeros((n, n), np.float64)
@@ -95,7 +96,7 @@ def _linked(sets: list[np.ndarray], threshold: float, left: np.ndarray) -> np.nd
     linked = common + 1e-9 >= threshold * (sizes[:, None] + sizes[None, :] - common)
     linked &= (sizes > 0)[:, None] & (sizes > 0)[None, :]
     np.fill_diagonal(linked, False)
-    if left.any() and not left.all():
+    if left is not None:
         linked &= left[:, None] != left[None, :]
     return linked
 
@@ -109,14 +110,15 @@ def _verified(threshold: float):
             for t in texts([batch]):
                 h, first = _shingles(t)
                 sets += [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-        rep, copies, comp, part, lo = (group.column(c).to_numpy() for c in ("rep", "copies", "comp", "part", "lo"))
+        rep, copies, comp, part, lo, hi = (group.column(c).to_numpy() for c in ("rep", "copies", "comp", "part", "lo", "hi"))
         order = np.lexsort((rep, comp))
         ends = np.append(np.flatnonzero(np.diff(comp[order])) + 1, len(order))
         out, begin = [], 0
         for end in ends:
             own = order[begin:end]
             begin = end
-            linked = _linked([sets[i] for i in own], threshold, part[own] == lo[own])
+            two = lo[own[0]] != hi[own[0]]
+            linked = _linked([sets[i] for i in own], threshold, part[own] == lo[own] if two else None)
             a, b = np.nonzero(linked)
             if len(a):
                 weight = linked @ copies[own].astype(np.float64)

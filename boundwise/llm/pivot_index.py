@@ -102,7 +102,7 @@ def _verified(threshold: float, shared: int, rank: list[int]):
     def verified(group: pa.Table) -> pa.Table:
         """Links inside some short lists, or between two blocks of a long one."""
         place = np.array(rank)
-        rep, copies, part, lo, list_id, pivot, dense, home = (group.column(c).to_numpy() for c in ("rep", "copies", "part", "lo", "list_id", "pivot", "dense", "home"))
+        rep, copies, part, lo, hi, list_id, pivot, dense, home = (group.column(c).to_numpy() for c in ("rep", "copies", "part", "lo", "hi", "list_id", "pivot", "dense", "home"))
         order = np.lexsort((rep, list_id))
         ends = np.append(np.flatnonzero(np.diff(list_id[order])) + 1, len(order))
         out, begin = [], 0
@@ -126,8 +126,8 @@ def _verified(threshold: float, shared: int, rank: list[int]):
                 in_cells = dense[own] > 0
                 linked &= ~(in_cells[:, None] & in_cells[None, :])
             np.fill_diagonal(linked, False)
-            left = part[own] == lo[own]
-            if not left.all():
+            if lo[own[0]] != hi[own[0]]:
+                left = part[own] == lo[own]
                 linked &= left[:, None] != left[None, :]
             a, b = np.nonzero(linked)
             if len(a):

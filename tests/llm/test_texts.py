@@ -166,6 +166,14 @@ def test_large_groups_of_near_copies(spark, monkeypatch, block):
     assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
 
 
+@pytest.mark.parametrize("copies", [2, 3])
+def test_blocks_of_a_group_may_be_empty(spark, monkeypatch, copies):
+    monkeypatch.setattr(lsh_forest, "BLOCK_BYTES", 1000)
+    rows = [(10 * g + k, " ".join(f"g{g}-{i}" for i in range(120)) + f" end{k}", "en", "a") for g in range(12) for k in range(copies)]
+    got = lsh_forest.join(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_links, r.component_id) for r in got) == [(d, copies - 1, d // 10 * 10) for d, *_ in rows]
+
+
 def test_prefixes_get_shorter_with_the_target():
     lengths = [lsh_forest.prefix_length(0.8, recall=r) for r in (0.5, 0.95, 0.999, 0.9999, 0.9999999)]
     assert lengths == sorted(lengths, reverse=True) and lengths[0] == lsh_forest.LONGEST and lengths[-1] < 4

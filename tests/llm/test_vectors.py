@@ -60,6 +60,14 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
     assert np.mean([got[i][1] == ids[parts[k]] for k, i in enumerate(ids)]) >= 0.99
 
 
+@pytest.mark.parametrize("n", [2, 3])
+def test_blocks_of_a_list_may_be_empty(spark, monkeypatch, n):
+    monkeypatch.setattr(pivot_index, "BLOCK", 1)
+    rows = [(10 * g + k, [float(g == i) + 0.01 * (k == i) for i in range(12)], 1) for g in range(12) for k in range(n)]
+    got = pivot_index.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, n - 1, i // 10 * 10) for i, _, _ in rows]
+
+
 @pytest.mark.parametrize("to_centre", [0.985, 0.992, 0.998])
 def test_a_third_of_the_rows_are_distinct_near_copies(spark, to_centre):
     rng = np.random.default_rng(5)
