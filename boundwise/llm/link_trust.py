@@ -13,6 +13,7 @@ no links; equal rows are judged each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from string import ascii_lowercase, ascii_uppercase
 from typing import NamedTuple
@@ -38,7 +39,16 @@ RULES = (
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 )
-FOLLOW, ROUNDS, CHANGE, DENSITY = 0.85, 30, 1e-6, 0.5
+FOLLOW, CHANGE, DENSITY = 0.85, 1e-6, 0.5
+
+
+def rounds_to(change: float, follow: float) -> int:
+    """Rounds after which the ranks change by less than this share of the seeds, whatever the graph: round k moves no more than
+    (1 - follow) * follow**k of them."""
+    return max(1, math.floor(math.log(change / (1 - follow)) / math.log(follow)) + 1) if follow > 0 else 1
+
+
+ROUNDS = rounds_to(CHANGE, FOLLOW)
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
@@ -72,9 +82,9 @@ def links(pages: DataFrame) -> DataFrame:
     return out.withColumn("dst", lower(F.col("dst"))).filter("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, follow: float = FOLLOW, rounds: int = ROUNDS, change: float = CHANGE) -> DataFrame:
+def propagated(seeds: DataFrame, edges: DataFrame, follow: float = FOLLOW, rounds: int | None = None, change: float = CHANGE) -> DataFrame:
     """(host, mass): PageRank from seeds (host, seed) along edges (src, dst, n). Each round's ranks are saved; it ends when the
-    ranks change by less than this share of the seeds."""
+    ranks change by less than this share of the seeds, as they do after some rounds on any graph; rounds is for fewer."""
     total = seeds.agg(F.sum("seed")).first()[0] or 0
     ranks = seeds.select("host", (F.col("seed") * (1 - follow)).alias("mass"))
     if not total or edges.isEmpty():
@@ -82,7 +92,7 @@ def propagated(seeds: DataFrame, edges: DataFrame, follow: float = FOLLOW, round
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     shares = save(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
     start = ranks
-    for _ in range(rounds):
+    for _ in range(rounds_to(change, follow) if rounds is None else rounds):
         moved = shares.join(ranks.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("mass") * F.col("share") * follow).alias("mass"))
         rows = start.unionByName(moved).withColumn("old", F.lit(0.0)).unionByName(ranks.select("host", F.lit(0.0).alias("mass"), F.col("mass").alias("old")))
         both = save(rows.groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old")), "ranks")

@@ -95,6 +95,19 @@ def test_propagation_matches_brute_force(spark, monkeypatch):
         assert verdicts[p] == (rule.verdict if rule else "block" if host in blocked else "allow")
 
 
+def test_trust_reaches_the_end_of_a_long_chain(spark):
+    seeds = spark.createDataFrame([("h0", 1.0)], "host string, seed double")
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(34)], "src string, dst string, n long")
+    got = {r.host: r.mass for r in link_trust.propagated(seeds, edges).collect()}
+    assert got == {f"h{i}": pytest.approx(0.15 * 0.85**i, rel=1e-9) for i in range(35)}
+
+
+def test_rounds_bring_the_change_below_its_limit():
+    for follow in (0.5, 0.85, 0.95):
+        k = link_trust.rounds_to(1e-6, follow)
+        assert (1 - follow) * follow**k < 1e-6 <= (1 - follow) * follow ** (k - 1)
+
+
 def test_every_page_of_the_table_is_judged(spark):
     pages = table(spark, "/root/testdata/sf0.01", "pages")
     got = {r.page_id: r for r in link_trust.judged(pages).collect()}
