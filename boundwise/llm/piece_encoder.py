@@ -20,11 +20,12 @@ KEPT = 2_000_000
 
 
 class PieceEncoder:
-    """Ids of texts, as the tokenizer's encode_batch gives them without special tokens."""
+    """Ids of texts, as the tokenizer's encode_batch gives them with add_special_tokens=False: none are put around a text, while an
+    added token of the file that stands in a text is one id. Texts beside such a one go to the library as they are."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [a.content.encode() for a in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.kinds = self._kinds()
         self._forget()
@@ -94,7 +95,8 @@ class PieceEncoder:
 
     def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and how many each row has."""
-        starts = self._starts(t) if len(t.data) else np.zeros(0, np.int64)
+        raw = t.data.tobytes()
+        starts = None if any(a in raw for a in self.added) else self._starts(t) if len(t.data) else np.zeros(0, np.int64)
         if starts is not None:
             ends = np.append(starts[1:], len(t.data))
             pieces, inverse, once = self._distinct(t, starts, ends)

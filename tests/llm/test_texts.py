@@ -254,6 +254,16 @@ def test_pieces(pieces, rows):
     assert [x.tolist() for x in np.split(ids, np.cumsum(count))[:-1]] == want
 
 
+def test_added_tokens_in_texts():
+    from tokenizers import Tokenizer
+
+    rows = ["a<|endoftext|> b", "<|endoftext|>", None, "<|endof", "text|> plain"]
+    ids, count = piece_encoder.PieceEncoder(rans_store.TOKENIZER).encode(Texts(pa.record_batch({"text": pa.array(rows, pa.string())})))
+    own = Tokenizer.from_file(rans_store.TOKENIZER)
+    want = [own.encode(t or "", add_special_tokens=False).ids for t in rows]
+    assert want[1] == [50256] and [x.tolist() for x in np.split(ids, np.cumsum(count))[:-1]] == want
+
+
 def test_pieces_are_forgotten(pieces, monkeypatch):
     monkeypatch.setattr(piece_encoder, "KEPT", 50)
     rows = [f"new{i} and old{i % 3}" for i in range(300)]
