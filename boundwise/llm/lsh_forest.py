@@ -1,9 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest, and near-dedup on top of it.
+"""N-gram Jaccard join by MinHash banding, in the place of an LSH forest, and near-dedup on top of it.
 
-A document's shingles are its distinct runs of ``SHINGLE`` words. Its signature has ``TREES`` parts; each part is a path in
-a prefix trie, kept as the sorted hashes of its prefixes. Prefixes start at ``LONGEST`` values and are shortened until a
-pair right at the threshold meets in some tree with the target probability (pairs above it meet more likely). Documents
-that share a prefix of that length in any tree are candidates; candidate groups are then verified exactly, all their pairs,
+A document's shingles are its distinct runs of ``SHINGLE`` words. Its signature has ``TREES`` parts, each
+one hash of some minima. Their number is the largest up to ``LONGEST`` with which a pair right at the threshold meets in some
+part with the target probability (pairs above it meet more likely); a formula gives it before any data is seen, 4 at 0.8.
+There are no tries, and matches aren't shortened by rounds: for that target, rounds would end at the same length with the
+same candidates. Documents that share a part are candidates; candidate groups are then verified exactly, all their pairs,
 in blocks of bounded size, so that a group's pairs exist only as counters inside a task.
 
 Copies (equal word sequences) form a class and enter once, by their smallest doc_id.
