@@ -58,9 +58,10 @@ class Summary:
             else:
                 self.counters[value], self.errors[value] = n, self.lost
         if len(self.counters) > self.capacity:
-            cut = sorted(self.counters.values(), reverse=True)[self.capacity]
+            ranked = sorted(self.counters.items(), key=lambda x: (-x[1], x[0]))
+            cut = ranked[self.capacity][1]
             self.lost += cut
-            self.counters = {v: n - cut for v, n in self.counters.items() if n > cut}
+            self.counters = {v: n - cut for v, n in ranked[: self.capacity]}
             self.errors = {v: self.errors[v] for v in self.counters}
 
     def merge(self, other: Summary) -> None:

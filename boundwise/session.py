@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 import random
 import time
@@ -22,6 +21,7 @@ from .plans.lexer import literal, normalised, tokens
 from .plans.lexer import statements as split_statements
 from .shipping import ship
 from .sources import registry as reg
+from .sources.state import source_state, unsteady
 from .sources.store import Store
 
 SEED_VARIABLE = "BOUNDWISE_HASH_SEED"
@@ -106,17 +106,12 @@ class Session:
 
     # sketches
 
-    def state(self, source: str) -> str:
-        """What a source (the text from FROM on) holds: its files, or for what has none, its plan and this session's changes."""
-        rows = self.spark.sql(f"SELECT * {source}") if not self._limited(source) else self.spark.sql(f"SELECT 1 {source}")
-        files = sorted(rows.inputFiles())
-        if files:
-            return "files:" + hashlib.sha256("\n".join(files).encode()).hexdigest()
-        return f"plan:{rows._jdf.queryExecution().analyzed().semanticHash()}:{self._changes}"
-
-    @staticmethod
-    def _limited(source: str) -> bool:
-        return any(t.low == "group" for t in tokens(source))
+    def state(self, source: str) -> str | None:
+        """What a source (the text from FROM on) holds: its plan with all views opened, and the place, length and time of each of
+        its files as they are now. Where other things than files are read, this session's changes count as well, and nothing
+        outlives it. None: what it holds may differ from one moment to the next, so that no sketch of it can be kept."""
+        columns = "1" if any(t.low == "group" for t in tokens(source)) else "*"
+        return source_state(self.spark.sql(f"SELECT {columns} {source}"), self._changes)
 
     def sketch(self, call: ApproxCall, source: str) -> reg.Entry | None:
         """The kept sketch for a call over a source, built if there is none that is current and accurate enough."""
@@ -124,6 +119,8 @@ class Session:
         if needed is None:
             return None
         kind, state = reg.kind_of(call.name), self.state(source)
+        if state is None or unsteady(self.spark.sql(f"SELECT ({call.expression}) AS v {source}")):
+            return reg.build(self.spark, kind, source, call.expression, needed, self.seed, "") if call.name == TOP_K else None
         found = self.registry.find(kind, normalised(source), normalised(call.expression), self.seed, state, needed)
         if found is None:
             found = reg.build(self.spark, kind, source, call.expression, needed, self.seed, state)
@@ -137,14 +134,13 @@ class Session:
             self.store.save([e for e in entries if e.state.startswith("files:")])
 
     def _forget_stale(self) -> None:
-        stale = []
-        for key, e in self.registry.entries.items():
+        now: dict[str, str | None] = {}
+        for source in {e.source for e in self.registry.entries.values()}:
             try:
-                if e.state != self.state(e.source):
-                    stale.append(key)
+                now[source] = self.state(source)
             except PySparkException:  # the source is gone
-                stale.append(key)
-        self.registry.drop(stale)
+                now[source] = None
+        self.registry.drop([key for key, e in self.registry.entries.items() if e.state != now[e.source]])
 
     def _from_sketch(self, call: ApproxCall, source: str) -> DataFrame | None:
         entry = self.sketch(call, source)
@@ -190,11 +186,12 @@ class Session:
         the rows' own sketches merged in, all or none. If the table was empty, sketches of the hinted columns, or of the
         named ones at the default bounds, are started. Sketches that can't follow are out of date by the table's state."""
         was_empty = self.spark.table(table).isEmpty()
-        before: dict[str, str] = {}
+        before: dict[str, str | None] = {}
         follow = []
         for e in list(self.registry.entries.values()):
             if _reads_only(e.source, table):
-                before.setdefault(e.source, self.state(e.source))
+                if e.source not in before:
+                    before[e.source] = self.state(e.source)
                 if e.state == before[e.source]:
                     follow.append(e)
         view = f"_boundwise_{uuid.uuid4().hex}"
@@ -221,7 +218,7 @@ class Session:
         hint = hint or st.Hint(tuple(named or ()), bounds.DEFAULT_EPSILON, bounds.DEFAULT_CONFIDENCE)
         source, started = f"FROM {table}", []
         state = self.state(source)
-        for column in hint.columns:
+        for column in hint.columns if state else ():
             for kind in (reg.HLL, reg.KLL, reg.FREQUENCY):
                 needed = reg.required_for(kind, hint.epsilon, hint.confidence)
                 if column in held and needed and not self.registry.find(kind, normalised(source), normalised(column), self.seed, state, needed):
