@@ -6,41 +6,40 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import Steps, lookup, save
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node in edges; component is the smallest node that edges reach.
+    """(node, component) of every node in edges, saved; component is the smallest node that edges reach.
 
     Each round every node points to its smallest neighbour, edges move to what their ends point to, and pointers are
     followed one step further. Nodes only ever point to smaller ones of their own component, so a round never splits or
-    joins wrongly, and the rounds end when no edge joins two different nodes. Joins are on single rows per node, and a
-    node with many edges is pre-aggregated before its shuffle.
+    joins wrongly, and the rounds end when no edge joins two different nodes. A node with many edges, as the centre of a
+    star, is pre-aggregated where its smallest neighbour is sought, and where pointers are looked up its rows are dealt out
+    (``lookup``).
     """
-    edges = save(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "edges")
-    points = None
-    while not edges.isEmpty():
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("to"))
-        least = save(_jumped(least), "least")
-        one = least.select(F.col("node").alias("a"), F.col("to").alias("ta"))
-        two = least.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        moved = edges.join(one, "a").join(two, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a <> b").distinct()
-        if points is None:
-            points = least
-        else:
-            then = least.select(F.col("node").alias("to"), F.col("to").alias("then"))
-            points = save(points.join(then, "to", "left").select("node", F.coalesce("then", "to").alias("to")), "points")
-        edges = save(moved, "edges")
-    if points is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return points.withColumnRenamed("to", "component")
-
-
-def _jumped(points: DataFrame) -> DataFrame:
-    """(node, to), each pointer followed once more: chains get half as long."""
-    then = points.select(F.col("node").alias("to"), F.col("to").alias("then"))
-    return points.join(then, "to", "left").select("node", F.coalesce("then", "to").alias("to"))
+    with Steps(edges.sparkSession) as steps:
+        edges = save(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "edges")
+        points = None
+        while not edges.isEmpty():
+            both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("to"))
+            least = save(least, "least")
+            least = save(_followed(least, least), "least")
+            one = least.select(F.col("node").alias("a"), F.col("to").alias("ta"))
+            two = least.select(F.col("node").alias("b"), F.col("to").alias("tb"))
+            moved = lookup(lookup(edges, one, ["a"]), two, ["b"])
+            moved = moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a <> b").distinct()
+            points = least if points is None else save(_followed(points, least), "points")
+            edges = save(moved, "edges")
+        out = edges.select(F.col("a").alias("node"), F.col("b").alias("component")) if points is None else points.withColumnRenamed("to", "component")
+        return steps.keep(out, "components")
+
+
+def _followed(points: DataFrame, by: DataFrame) -> DataFrame:
+    """(node, to), each pointer followed once more, by pointers (a saved table) that needn't have all nodes."""
+    then = by.select(F.col("node").alias("to"), F.col("to").alias("then"))
+    return lookup(points, then, ["to"], "left").select("node", F.coalesce("then", "to").alias("to"))
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -6,7 +6,12 @@ period is in the cover, meet in every long match. Where such an anchor is in two
 windows around it are hashed (128 bits) and each goes to the smallest document that has it.
 
 Before a shuffle, a piece of a batch keeps for a hash only what the smallest document in it has; what the others have is
-known to be repeated. So a passage that a third of all documents share reaches a task once for each piece.
+known to be repeated. A task remembers such hashes with their smallest document, so that what later pieces have of them is
+known to be repeated as well: a passage that a third of all documents share goes to one place only once for each task. What
+a task has no room to remember goes there once more, with the same result.
+
+Words are told apart by 128 bits that are a short word itself, or a keyed digest of a longer one; two independent hashes of
+64 bits each compare windows.
 
 Defined results: a null or empty text has no words; a null doc_id neither removes words nor loses any; rows with one
 doc_id never remove each other's words, and equal rows get equal results; an empty table gives an empty result.
@@ -21,39 +26,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, Texts, Words, arrow, mix, runs, save, signed, texts, word_hashes
+from .common import BROADCAST_KEYS, Texts, Words, arrow, mix, runs, save, signed, texts, windows, word_hashes
 
 WINDOW = 50
 #: A perfect difference set.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
 STEP = 500_000
-#: Up to so many documents with repeated anchors, their keys are broadcast; beyond, both sides are shuffled.
-BROADCAST_KEYS = 500_000
+#: So many hashes of repeated passages are remembered by a task.
+REMEMBERED = 1 << 18
 
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
 def _hashes(t: Texts, w: Words, at: np.ndarray, n: int, seed: int) -> np.ndarray:
-    return Rolling(word_hashes(t, w, seed), seed + 3).spans(at, at + n)
+    return windows(word_hashes(t, w, seed), n)[at]
+
+
+class _Seen:
+    """Hashes that several documents of a task have, sorted by the first of two, with the smallest document so far."""
+
+    def __init__(self) -> None:
+        self.first, self.last, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def smallest(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each pair of hashes is, and whether it is there."""
+        at = np.searchsorted(self.first, first)
+        inside = np.minimum(at, max(0, len(self.first) - 1))
+        return at, (self.first[inside] == first) & (self.last[inside] == last) if len(self.first) else np.zeros(len(first), bool)
+
+    def put(self, at: np.ndarray, known: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray) -> None:
+        """first: sorted, each once; at, known: what smallest has said to them."""
+        self.doc[at[known]] = np.minimum(self.doc[at[known]], doc[known])
+        new = np.flatnonzero(~known)[: max(0, REMEMBERED - len(self.first))]
+        self.first, self.last, self.doc = (np.insert(old, at[new], x[new]) for old, x in ((self.first, first), (self.last, last), (self.doc, doc)))
 
 
-def _first_documents(hashes: list[np.ndarray], doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    """Columns hash..., doc_id, at. at holds the row's mark, the place, and a last bit: known to be in two documents. Of equal
-    hashes, those outside the smallest document get a hash of their own; what is left of a hash has the bit if there were any."""
+def _first_documents(hashes: list[np.ndarray], doc: np.ndarray, mark: np.ndarray, place: np.ndarray, seen: _Seen) -> list[np.ndarray]:
+    """Columns hash..., doc_id, at, later. at holds the row's mark, the place, and a last bit: known to be in two documents. Of
+    equal hashes, those outside the smallest document get a hash of their own and are later; what is left of a hash has the bit if
+    there were any."""
+    if not len(doc):
+        return [*(signed(h) for h in hashes), doc, place.astype(np.int64), np.zeros(0, bool)]
     order = np.lexsort((doc, *hashes[::-1]))
     hashes, doc, mark, place = [h[order] for h in hashes], doc[order], mark[order], place[order]
     new = np.ones(len(doc), bool)
-    new[1:] = np.any([h[1:] != h[:-1] for h in hashes], axis=0) if len(doc) else True
+    new[1:] = np.any([h[1:] != h[:-1] for h in hashes], axis=0)
     group = np.cumsum(new) - 1
     begins = np.flatnonzero(new)
-    later = doc != doc[begins][group] if len(doc) else np.zeros(0, bool)
-    shared = np.zeros(len(begins), bool)
+    first, last, least = hashes[0][begins], hashes[-1][begins], doc[begins]
+    at, known = seen.smallest(first, last)
+    if known.any():
+        least[known] = np.minimum(least[known], seen.doc[at[known]])
+    later = doc != least[group]
+    shared = known.copy()
     shared[group[later]] = True
-    at = (mark << 32) | (place.astype(np.int64) << 1) | (shared[group] if len(doc) else 0)
-    own = mix(hashes[0] ^ mix(doc.view(np.uint64) + np.uint64(1)) ^ at.view(np.uint64))
+    keep = np.flatnonzero(shared)
+    once = keep[np.append(True, first[keep][1:] != first[keep][:-1])] if len(keep) else keep
+    seen.put(at[once], known[once], first[once], last[once], least[once])
+    place = (mark << 32) | (place.astype(np.int64) << 1) | shared[group]
+    own = mix(hashes[0] ^ mix(doc.view(np.uint64) + np.uint64(1)) ^ place.view(np.uint64))
     hashes[0] = np.where(later, own, hashes[0])
-    return [*(signed(h) for h in hashes), doc, at, later]
+    return [*(signed(h) for h in hashes), doc, place, later]
 
 
 def _columns(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -61,18 +95,20 @@ def _columns(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = _Seen()
     for t in texts(batches, step=STEP):
         w = Words(t)
         at = runs(w.first, w.counts, ANCHOR)
         at = at[_ON_COVER[w.place[at] % PERIOD]]
         doc, mark = _columns(t)
         row = w.row[at]
-        h, doc, at, _ = _first_documents([_hashes(t, w, at, ANCHOR, 0)], doc[row], mark[row], w.place[at])
+        h, doc, at, _ = _first_documents([_hashes(t, w, at, ANCHOR, 0)], doc[row], mark[row], w.place[at], seen)
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(at)], ["h", "doc_id", "at"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All windows that hold a repeated anchor."""
+    seen = _Seen()
     for t in texts(batches, step=STEP):
         w = Words(t)
         near = np.zeros(len(w.starts) + 1, np.int64)
@@ -85,7 +121,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = at[np.cumsum(near)[at] > 0]
         doc, mark = _columns(t)
         row = w.row[at]
-        h1, h2, doc, at, later = _first_documents([_hashes(t, w, at, WINDOW, s) for s in (0, 1)], doc[row], mark[row], w.place[at])
+        h1, h2, doc, at, later = _first_documents([_hashes(t, w, at, WINDOW, s) for s in (0, 1)], doc[row], mark[row], w.place[at], seen)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, doc, at, later)], ["h1", "h2", "doc_id", "at", "later"])
 
 
@@ -138,16 +174,15 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     anchors = anchors.filter((F.col("lo") < F.col("hi")) | (F.col("at").bitwiseAND(1) == 1))
     anchors = save(_by_document(anchors), "anchors")
     near = save(_only(docs, anchors).dropDuplicates(["doc_id", "mark"]).join(anchors, ["doc_id", "mark"]), "near")
-    windows = arrow(near, _windows, "h1 long, h2 long, doc_id long, at long, later boolean")
-    windows = windows.withColumn("lo", F.min("doc_id").over(Window.partitionBy("h1", "h2")))
-    windows = save(_by_document(windows.filter(F.col("later") | (F.col("lo") < F.col("doc_id")))), "windows")
-    return windows, near
+    found = arrow(near, _windows, "h1 long, h2 long, doc_id long, at long, later boolean")
+    found = found.withColumn("lo", F.min("doc_id").over(Window.partitionBy("h1", "h2")))
+    return save(_by_document(found.filter(F.col("later") | (F.col("lo") < F.col("doc_id")))), "windows"), near
 
 
 def cleaned(documents: DataFrame) -> DataFrame:
     """doc_id, mark, kept, n_removed of the documents that lose words; kept: what stays, words joined by one space."""
-    windows, near = repeats(documents)
-    return save(arrow(near.drop("places").join(windows, ["doc_id", "mark"]), _apply, "doc_id long, mark long, kept string, n_removed long"), "cleaned")
+    found, near = repeats(documents)
+    return save(arrow(near.drop("places").join(found, ["doc_id", "mark"]), _apply, "doc_id long, mark long, kept string, n_removed long"), "cleaned")
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-from .common import _BYTES, Rolling, Texts
+from .common import Texts, identities, mix
 
 _S, _L, _N, _P = range(4)
 #: Characters from here on aren't classified; texts with them go to the library as they are.
@@ -21,7 +21,8 @@ KEPT = 2_000_000
 
 class PieceEncoder:
     """Ids of texts, as the tokenizer's encode_batch gives them with add_special_tokens=False: none are put around a text, while an
-    added token of the file that stands in a text is one id. Texts beside such a one go to the library as they are."""
+    added token of the file that stands in a text is one id. Texts beside such a one go to the library as they are. Pre-tokens are
+    known by their bytes, not by a hash alone."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -42,7 +43,8 @@ class PieceEncoder:
         return kinds
 
     def _forget(self) -> None:
-        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        """What is known: sorted hashes of pre-tokens, their identities, and where their ids are."""
+        self.keys, self.low, self.high = (np.zeros(0, np.uint64) for _ in range(3))
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -75,22 +77,22 @@ class PieceEncoder:
             begin[rest[rest < len(chars)]] = True
         return at[begin]
 
-    def _learn(self, t: Texts, keys: np.ndarray, checks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        if len(self.keys) + len(keys) > KEPT:
+    def _learn(self, t: Texts, pieces: tuple[np.ndarray, ...], starts: np.ndarray, ends: np.ndarray) -> None:
+        if len(self.keys) + len(starts) > KEPT:
             self._forget()
-        pieces = [t.data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        texts = [t.data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         count = np.array([len(x) for x in ids], np.int64)
         first = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], np.uint32)])
-        self.keys, self.checks = np.concatenate([self.keys, keys]), np.concatenate([self.checks, checks])
-        self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.checks, self.first, self.count = self.keys[order], self.checks[order], self.first[order], self.count[order]
+        keys, low, high = (np.concatenate([a, b]) for a, b in zip((self.keys, self.low, self.high), pieces, strict=True))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.low, self.high = keys[order], low[order], high[order]
+        self.first, self.count = np.concatenate([self.first, first])[order], np.concatenate([self.count, count])[order]
 
-    def _find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _find(self, keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        known = (self.keys[at] == keys) & (self.checks[at] == checks) if len(self.keys) else np.zeros(len(keys), bool)
+        known = (self.low[at] == low) & (self.high[at] == high) if len(self.keys) else np.zeros(len(keys), bool)
         return at, known
 
     def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -99,18 +101,17 @@ class PieceEncoder:
         starts = None if any(a in raw for a in self.added) else self._starts(t) if len(t.data) else np.zeros(0, np.int64)
         if starts is not None:
             ends = np.append(starts[1:], len(t.data))
-            pieces, inverse, once = self._distinct(t, starts, ends)
-            keys, checks = pieces
-            at, known = self._find(keys, checks)
+            pieces, inverse, once, sound = self._distinct(t, starts, ends)
+            at, known = self._find(*pieces)
             if not known.all():
                 some = np.flatnonzero(~known)
-                self._learn(t, keys[some], checks[some], starts[once[some]], ends[once[some]])
-                at, known = self._find(keys, checks)
+                self._learn(t, tuple(x[some] for x in pieces), starts[once[some]], ends[once[some]])
+                at, known = self._find(*pieces)
                 if not known.all():  # forgotten meanwhile
                     self._forget()
-                    self._learn(t, keys, checks, starts[once], ends[once])
-                    at, known = self._find(keys, checks)
-            if known.all():
+                    self._learn(t, pieces, starts[once], ends[once])
+                    at, known = self._find(*pieces)
+            if sound and known.all():
                 count, first = self.count[at][inverse], self.first[at][inverse]
                 after = np.cumsum(count)
                 ids = self.ids[np.arange(after[-1] if len(after) else 0) + np.repeat(first - (after - count), count)]
@@ -121,10 +122,14 @@ class PieceEncoder:
 
     @staticmethod
     def _distinct(t: Texts, starts: np.ndarray, ends: np.ndarray):
-        keys, inverse = np.unique(Rolling(_BYTES[0][t.data]).spans(starts, ends), return_inverse=True)
+        """Hash and identity of each distinct pre-token, which one each is, one place of each; and whether pre-tokens of one hash
+        are indeed the same."""
+        low, high = identities(t.data, starts, ends)
+        keys, inverse = np.unique(mix(low * np.uint64(0x9E3779B97F4A7C15) + mix(high)), return_inverse=True)
         once = np.empty(len(keys), np.int64)
         once[inverse] = np.arange(len(starts))
-        return (keys, Rolling(_BYTES[1][t.data], 1).spans(starts[once], ends[once])), inverse, once
+        sound = bool(np.all((low[once][inverse] == low) & (high[once][inverse] == high)))
+        return (keys, low[once], high[once]), inverse, once, sound
 
 
 @lru_cache(maxsize=2)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTES, Rolling, Texts, Words, arrow, texts
+from .common import BYTES, Rolling, Texts, Words, arrow, texts
 from .learning import fold, labelled
 
 NGRAMS = (2, 3, 4)
@@ -36,7 +36,7 @@ SEED = 3
 def features(t: Texts, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sets of features as (bucket, first of each row): words, then n-grams of each length."""
     w = Words(t)
-    bytes_ = Rolling(_BYTES[0][t.data])
+    bytes_ = Rolling(BYTES[t.data])
     shift = np.uint64(64 - bits)
     words = bytes_.spans(w.starts, w.ends)
     yield (words >> shift).astype(np.int64), w.first

@@ -34,6 +34,7 @@ ODD = [
     (None, PASSAGE, "en", "a"),
     (12, " ".join(["na"] * 300), "en", "\U0001f600"),
     (13, " ".join(["na"] * 120), "en", "z"),
+    (14, "hello <|endoftext|> world", "en", "z"),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, mark int, size int, taken string, row int, kept int"
 
@@ -146,7 +147,7 @@ def test_rows_of_one_id_do_not_break_the_join(spark):
     assert len(got) == len(ODD) and sorted(r.component_id for r in got if r.doc_id == 11) == [1, 1, 11]
     out = lsh_forest.distinct(frame(spark, ODD))
     assert out.columns == frame(spark, ODD).columns
-    assert {r.doc_id for r in out.collect()} == {1, 3, 4, 5, 6, 8, 10, 11, 12, None}
+    assert {r.doc_id for r in out.collect()} == {1, 3, 4, 5, 6, 8, 10, 11, 12, 14, None}
 
 
 @pytest.mark.parametrize("block", [1024, 16])
@@ -296,7 +297,6 @@ def test_store_of_odd_rows(spark):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(rans_store.TOKENIZER)
-    own.encode_special_tokens = True
     enc = {t: own.encode(t or "", add_special_tokens=False).ids + [rans_store.END_ID] for _, t, *_ in ODD}
     got = sorted(rans_store.digests(frame(spark, ODD)).collect(), key=lambda r: r.start)
     rows = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, len(enc[r[1]])))
