@@ -1,19 +1,28 @@
 """Approximate nearest neighbours by collision-counting hashing, for the largest inner product.
 
-Largest inner products are nearest points once every vector gets one more component that brings all to one length. A block
-of vectors is indexed by ``PROJECTIONS`` random projections, each a sorted array of its own. A query opens a window around
-its own projection in each array and widens all of them round by round (virtual rehashing); a vector collides once for
-each window it is in. Vectors with at least ``COLLIDE`` of the projections are verified by their exact inner product, until
-enough of the block, a share of ``VERIFY``, has been. Every vector is in the index of its block; every query visits every
-block, and the blocks' best are merged.
+A block of vectors is cut into ranges of similar norms, the largest first; within one, inner products order vectors as the
+distances of their directions do. A range is indexed by ``PROJECTIONS`` random projections of the directions, each a sorted
+array of its own. A query opens a window around its own projection in each array and widens all of them round by round, as
+hash buckets of growing width would be (virtual rehashing); what comes into a window is counted, so that a vector collides
+once for each window it is in. Windows are ``WIDTH`` times the round's radius to either side, so a direction at that radius is in each
+with one probability, and the threshold is the number of collisions that it misses with probability ``MISS`` at most: vectors
+that reach it are verified by their exact inner product.
+
+A query is done with a range when the radius is that of the k-th best product so far: whatever is better is nearer, and has
+had its chance. It is done with the block when no range left is long enough to hold anything better. So the share that is
+verified follows the data, and the recall doesn't depend on it. Every vector is in the index of its block; every query
+visits every block, and the blocks' best are merged.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows without vec_id take no
 part; only vectors of one length are compared; a query is asked once for each distinct row that has its vec_id; rows with
-the query's vec_id are no candidates; equal rows are separate candidates; an empty table gives an empty result.
+the query's vec_id are no candidates; equal rows are separate candidates; an inner product that is too large for a double is
+infinite, with its sign; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,84 +32,130 @@ from .common import save, ship
 from .vectors import matrix, vectors
 
 NEIGHBOURS = 20
-#: A block has so many verified at least, if it has them.
-LEAST = 512
-PROJECTIONS, COLLIDE, VERIFY = 128, 0.5, 0.25
-#: The first window's half width, in standard deviations of a projection, and its growth by round.
-WIDTH, GROWTH = 0.6, 1.05
+PROJECTIONS, WIDTH, MISS = 128, 1.0, 0.1
+#: Radii of the rounds: the first, and the growth.
+RADIUS, GROWTH = 0.05, 1.1
+#: Norms of a range differ by this factor at most; the last of so many ranges holds all shorter vectors.
+RATIO, RANGES = 1.4, 32
 BLOCK, QUERIES = 8192, 8192
-STEP = 128
 SEED = 10
-
-
-def _first(holds, last: int, guess: int) -> int:
-    """The first of 0 to last that holds, as all behind it and the last do: steps from a guess, then bisection."""
-    low, high, k, jump = -1, last, guess, 1
-    while high - low > 1:
-        k = min(max(k, low + 1), high - 1)
-        if holds(k):
-            high, k = k, k - jump
-        else:
-            low, k = k, k + jump
-        jump *= 2
-        if low >= 0 and high < last:
-            k = (low + high) // 2
-    return high
+#: Inner products of directions are compared with this much slack.
+_SLACK = 1e-9
+
+
+def threshold(projections: int = PROJECTIONS, width: float = WIDTH, miss: float = MISS) -> int:
+    """The most collisions that a direction at the radius of a round reaches, or else with this probability at most."""
+    p, below = math.erf(width / math.sqrt(2)), 0.0
+    for k in range(projections + 1):
+        below += math.comb(projections, k) * p**k * (1 - p) ** (projections - k)
+        if below > miss:
+            return max(1, k)
+    return projections
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors, the largest component of each vector, and its norm in multiples of that: no square overflows."""
+    largest = np.abs(x).max(axis=1)
+    y = x / largest[:, None]
+    norms = np.sqrt((y * y).sum(axis=1))
+    return y / norms[:, None], largest, norms
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with one vector; rounding doesn't depend on a row's place."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (x * q).sum(axis=1)
+        huge = ~np.isfinite(out)
+        if huge.any():
+            y, largest, norms = directions(x[huge])
+            own, most, norm = directions(q[None, :])
+            out[huge] = (y * own[0]).sum(axis=1) * norms * norm[0] * largest * most[0]
+    return out
+
+
+class Range:
+    """Sorted projections of some directions. rows: their places; norms: in descending order."""
+
+    def __init__(self, y: np.ndarray, rows: np.ndarray, norms: np.ndarray, lines: np.ndarray):
+        self.y, self.rows, self.norms, self.most = y, rows, norms, float(norms[0])
+        at = (y @ lines).T
+        order = np.argsort(at, axis=1, kind="stable")
+        self.apart = 4 * float(np.abs(at).max()) + 8  # the arrays end to end, too far apart for a window to reach the next
+        self.line = np.arange(len(at)) * self.apart
+        self.sorted = (np.take_along_axis(at, order, axis=1) + self.line[:, None]).ravel()
+        self.order = order.ravel()
+        self.ends = (np.arange(len(at) + 1) * len(y)).astype(np.int64)
+
+    def widened(self, at: np.ndarray, width: float, low: np.ndarray, high: np.ndarray):
+        """How often each direction comes newly into windows of this half width around at, once those from low to high were counted."""
+        reach = min(width, self.apart / 2)
+        centre = np.clip(at, -self.apart / 4, self.apart / 4) + self.line
+        new_low = np.minimum(np.searchsorted(self.sorted, centre - reach, "left"), low)
+        new_high = np.maximum(np.searchsorted(self.sorted, centre + reach, "right"), high)
+        order = self.order
+        parts = [order[a:b] for a, b in zip(new_low.tolist(), low.tolist(), strict=True)] + [order[a:b] for a, b in zip(high.tolist(), new_high.tolist(), strict=True)]
+        return np.bincount(np.concatenate(parts), minlength=len(self.y)), new_low, new_high
 
 
 class Index:
-    """Sorted projections of a block of vectors."""
-
-    def __init__(self, x: np.ndarray, projections: int = PROJECTIONS, seed: int = SEED):
-        self.x = x
-        norms = np.sqrt((x * x).sum(axis=1))
-        self.most = norms.max()
-        y = np.concatenate([x / self.most, np.sqrt(np.maximum(0, 1 - (norms / self.most) ** 2))[:, None]], axis=1)
-        self.lines = np.random.default_rng(seed).standard_normal((y.shape[1], projections))
-        self.lines /= np.sqrt((self.lines**2).sum(axis=0))
-        at = (y @ self.lines).T
-        self.order = np.argsort(at, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(at, self.order, axis=1)
-        self.ranks = np.empty(self.order.shape, np.uint16 if len(x) < 1 << 16 else np.uint32)
-        np.put_along_axis(self.ranks, self.order, np.arange(len(x), dtype=self.ranks.dtype)[None, :], axis=1)
-        self.spread = float(at.std()) or 1.0
-
-    def candidates(self, queries: np.ndarray, collide: float = COLLIDE, verify: float = VERIFY, least: int = LEAST):
-        """For each query, the rows that collide often enough in the first round that has enough of them. Rounds of windows are
-        nested, so that round is found by bisection, near the one of the query before."""
-        n, m = len(self.x), len(self.order)
-        q = queries / np.sqrt((queries * queries).sum(axis=1, keepdims=True))
-        at = q @ self.lines[:-1]
-        need, enough = max(1, int(np.ceil(collide * m))), min(n, max(least, int(np.ceil(verify * n))))
-        reach = np.abs(self.sorted).max() + (np.abs(at).max() if len(at) else 0)
-        rounds = 1 + max(0, int(np.ceil(np.log(reach / (WIDTH * self.spread)) / np.log(GROWTH))))
-        windows = WIDTH * self.spread * GROWTH ** np.arange(rounds + 1)[:, None]
-        guess = 0
-        for start in range(0, len(q), STEP):
-            some = at[start : start + STEP]
-            lows = np.stack([np.searchsorted(line, some[:, j] - windows, "left") for j, line in enumerate(self.sorted)], axis=2).astype(self.ranks.dtype)
-            highs = np.stack([np.searchsorted(line, some[:, j] + windows, "right") for j, line in enumerate(self.sorted)], axis=2).astype(self.ranks.dtype)
-            for i in range(len(some)):
-                counts: dict[int, np.ndarray] = {}
-
-                def found(k: int, i: int = i, lows=lows, highs=highs, counts=counts) -> np.ndarray:
-                    if k not in counts:
-                        inside = self.ranks - lows[k, i][:, None] < (highs[k, i] - lows[k, i])[:, None]  # below the window wraps
-                        counts[k] = np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= need)
-                    return counts[k]
-
-                guess = _first(lambda k, found=found: len(found(k)) >= enough, rounds, guess)
-                yield found(guess)
+    """A block of vectors."""
+
+    def __init__(self, x: np.ndarray, projections: int = PROJECTIONS, width: float = WIDTH, miss: float = MISS, seed: int = SEED):
+        self.x, self.width, self.need = x, width, threshold(projections, width, miss)
+        y, largest, norms = directions(x)
+        norms = largest / largest.max() * norms
+        self.lines = np.random.default_rng(seed).standard_normal((x.shape[1], projections))
+        rows = np.argsort(-norms, kind="stable")
+        self.ranges, begin = [], 0
+        while begin < len(rows):
+            left = norms[rows[begin:]]
+            upto = begin + (int(np.searchsorted(-left, -left[0] / RATIO, "right")) if len(self.ranges) < RANGES - 1 else len(left))
+            some = rows[begin:upto]
+            self.ranges.append(Range(y[some], some, norms[some], self.lines))
+            begin = upto
+        self.guesses = [0] * len(self.ranges)
+        self.verified = 0
+
+    def found(self, query: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
+        """Rows that may be among the k best for a query: all that were verified, but those clearly worse than the k best of them.
+        other: which rows may be found."""
+        direction = directions(query[None, :])[0][0]
+        at = direction @ self.lines
+        rows, scores = np.zeros(0, np.int64), np.zeros(0)
+        for nth, r in enumerate(self.ranges):
+            best = np.partition(scores, -k)[-k] if len(scores) >= k else -np.inf
+            if best > r.most * (1 + _SLACK):
+                break
+            # the round before the one that the last query ended with
+            level, done, counts = max(0, self.guesses[nth] - 2), ~other[r.rows], np.zeros(len(r.rows), np.int64)
+            low = high = np.searchsorted(r.sorted, np.clip(at, -r.apart / 4, r.apart / 4) + r.line)
+            while True:
+                radius = RADIUS * GROWTH**level
+                more, low, high = r.widened(at, self.width * radius, low, high)
+                counts += more
+                new = np.flatnonzero((counts >= self.need) & ~done)
+                if len(new):
+                    done[new] = True
+                    self.verified += len(new)
+                    rows = np.concatenate([rows, r.rows[new]])
+                    scores = np.concatenate([scores, (r.y[new] @ direction) * r.norms[new]])
+                    if len(scores) > 4 * k:  # the k best, and what is as good
+                        keep = scores >= np.partition(scores, -k)[-k] - _SLACK
+                        rows, scores = rows[keep], scores[keep]
+                best = np.partition(scores, -k)[-k] if len(scores) >= k else -np.inf
+                cosine = best / r.most if r.most > 0 and best > -np.inf else -1.0
+                if radius >= 2 or radius * radius >= 2 - 2 * max(-1.0, cosine) or done.all():
+                    break
+                level += 1
+            self.guesses[nth] = level
+        return rows
 
     def search(self, queries: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int = NEIGHBOURS):
         """(query's row, id, inner product) of the k best for each query, ties to the smaller id."""
         out = []
-        for i, found in enumerate(self.candidates(queries)):
-            found = found[ids[found] != own[i]]
-            if len(found) > k:  # a fast product first; what may be among the best gets the one whose rounding doesn't depend on place
-                fast = self.x[found] @ queries[i]
-                found = found[fast >= np.partition(fast, -k)[-k] - 1e-9 * self.most * np.sqrt(queries[i] @ queries[i])]
-            scores = (self.x[found] * queries[i]).sum(axis=1)
+        for i, query in enumerate(queries):
+            found = self.found(query, ids != own[i], k)
+            scores = products(self.x[found], query)
             best = np.lexsort((ids[found], -scores))[:k]
             out.append((np.full(len(best), i), ids[found][best], scores[best]))
         return [np.concatenate(c) for c in zip(*out, strict=True)]

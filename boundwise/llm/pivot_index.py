@@ -1,11 +1,11 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-A vector is described by its ``NEAREST`` nearest of ``PIVOTS`` reference vectors, in order. An inverted list holds, for a
+A vector is described by its ``NEAREST`` nearest of the pivots, reference vectors, in order. An inverted list holds, for a
 pivot and a label, the vectors that have it. Two vectors are a candidate pair if they share ``SHARED`` pivots, which are
 counted inside the lists; candidates are verified by cosine in double precision. Such a pair has its rarest common pivot
 among the ``NEAREST - SHARED + 1`` rarest of both, so a vector enters only those lists, and a pair counts only in the list of
-its rarest common pivot. Long lists are cut into blocks and compared block by block; links exist as counters and spanning
-edges only.
+its rarest common pivot. Long lists are cut into blocks, block by block: pivots are counted first, and only the pairs that
+share enough are compared. Links exist as counters and spanning edges only.
 
 Where many pivots are close to a vector, as in a large group of near copies, which of them are nearest says little. Up to
 2 ``NEAREST`` - ``SHARED`` close pivots two choices of ``NEAREST`` share enough in any case; a vector with more of them within
@@ -14,8 +14,8 @@ angle more, and those vectors, its dense ones and their surroundings, are compar
 far-apart pivots, where a vector is in the cell of its nearest one, its home, and in all others that a vector it links with
 may have as home, by the triangle inequality. Dense vectors enter only these lists, their surroundings both kinds.
 
-The pivots are a bounded sample, the vectors with the smallest hashes of vec_id. All vectors are indexed. Equal vectors of
-one label enter once, with their number.
+The pivots are a bounded sample, the vectors with the smallest hashes of vec_id; their number grows with the table up to a
+bound, so that lists stay short. All vectors are indexed. Equal vectors of one label enter once, with their number.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows without a label or
 vec_id link with nothing; vectors of different lengths never link; equal rows are separate vectors that link with each
@@ -31,13 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, save, ship
+from .common import arrow, lookup, save, ship
 from .components import components, forest
 from .vectors import matrix, vectors
 
 THRESHOLD = 0.98
-PIVOTS, NEAREST, SHARED = 256, 10, 3
+NEAREST, SHARED = 10, 3
+#: So many pivots at least and at most, and between, one for so many distinct vectors.
+PIVOTS, MOST_PIVOTS, PER_PIVOT = 256, 4096, 1024
 BLOCK = 1024
+#: So many numbers of candidate pairs are compared at once.
+COMPARED = 1 << 20
 #: Angles here are in multiples of the threshold's. Centres of cells are further apart than twice this.
 CLOSE = 3
 _SLACK = 1e-6
@@ -113,39 +117,43 @@ def _verified(threshold: float, shared: int, rank: list[int]):
                 continue
             rows = pa.array(own)
             x = _unit(matrix(group.column("v").take(rows)))
-            linked = x @ x.T >= threshold
-            if pivot[own[0]] < 0:  # a cell; a pair counts in the first of its two homes
+            if pivot[own[0]] < 0:  # a cell: all are compared; a pair counts in the first of its two homes
+                linked = x @ x.T >= threshold
                 linked &= np.minimum(home[own][:, None], home[own][None, :]) == -1 - pivot[own[0]]
-            else:
-                near = place[matrix(group.column("near").take(rows)).astype(np.int64)]
-                has = np.zeros((len(own), len(rank)), np.float32)
-                np.put_along_axis(has, near, 1, axis=1)
-                linked &= has @ has.T >= shared
-                before = has[:, : place[pivot[own[0]]]]
+            else:  # counts first; only who shares enough is compared
+                ranks, near = np.unique(place[matrix(group.column("near").take(rows)).astype(np.int64)], return_inverse=True)
+                has = np.zeros((len(own), len(ranks)), np.float32)
+                np.put_along_axis(has, near.reshape(len(own), -1), 1, axis=1)
+                linked = has @ has.T >= shared
+                before = has[:, : np.searchsorted(ranks, place[pivot[own[0]]])]
                 linked &= before @ before.T == 0
                 in_cells = dense[own] > 0
                 linked &= ~(in_cells[:, None] & in_cells[None, :])
-            np.fill_diagonal(linked, False)
             if lo[own[0]] != hi[own[0]]:
                 left = part[own] == lo[own]
                 linked &= left[:, None] != left[None, :]
-            a, b = np.nonzero(linked)
+            a, b = np.nonzero(np.triu(linked, 1))
+            if pivot[own[0]] >= 0 and len(a):
+                step = max(1, COMPARED // x.shape[1])
+                same = np.concatenate([(x[a[i : i + step]] * x[b[i : i + step]]).sum(axis=1) >= threshold for i in range(0, len(a), step)])
+                a, b = a[same], b[same]
             if len(a):
-                some = np.flatnonzero(linked.any(axis=1))
-                weight = linked[some] @ copies[own].astype(np.float64)
-                out.append((rep[own][some], weight.astype(np.int64), rep[own][forest(len(own), a, b)][some]))
+                weight = np.bincount(a, copies[own][b], len(own)) + np.bincount(b, copies[own][a], len(own))
+                some = np.flatnonzero(weight)
+                out.append((rep[own][some], weight[some].astype(np.int64), rep[own][forest(len(own), a, b)][some]))
         columns = [np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else [()] * 3)]
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["rep", "links", "to"])
 
     return verified
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, pivots: int | None = None, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     rows = vectors(embeddings, F.col("label").alias("label"))
     rows = save(rows.withColumn("ok", F.col("ok") & F.col("label").isNotNull()).withColumn("h", F.xxhash64("v")), "vectors")
     classes = rows.filter("ok").groupBy("label", "h", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = save(classes, "classes")
+    pivots = min(MOST_PIVOTS, max(PIVOTS, classes.count() // PER_PIVOT)) if pivots is None else pivots
     found = _links(classes, threshold, pivots, nearest, shared)
     parts = components(found, "rep", "to").withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

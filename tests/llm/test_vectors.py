@@ -139,3 +139,56 @@ def test_search_recall(spark, monkeypatch, block):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert all(len(got[q]) == 20 for q in want)
     assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+@pytest.mark.parametrize("spread", [0.1, 0.3, 1.0, 3.0])
+def test_search_recall_with_norms_that_vary(spread):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 32))
+    x *= np.exp(spread * rng.standard_normal((3000, 1))) / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    index, ids = collision_search.Index(x), np.arange(3000)
+    row, found, _ = index.search(x[:60], ids, ids[:60])
+    full = x[:60] @ x.T
+    np.fill_diagonal(full, -np.inf)
+    want = np.argsort(-full, axis=1)[:, :20]
+    assert np.mean([len(set(found[row == i]) & set(want[i])) / 20 for i in range(60)]) >= 0.95
+    assert index.verified < 0.6 * 60 * 3000
+
+
+def test_search_of_enormous_and_tiny_vectors(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, 8))
+    x[:20] *= 1e200
+    x[20:30] *= 1e-300
+    x[30, :] = [1e308, -1e308] * 4
+    schema = "vec_id long, embedding array<double>"
+    got = {}
+    for r in collision_search.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], schema)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert got.keys() == {0, 20, 40} and all(len(v) == 20 for v in got.values())
+    for q, rows in got.items():
+        rows.sort()
+        scores = [s for _, _, s in rows]
+        assert scores == sorted(scores, reverse=True) and not np.isnan(scores).any()
+        want = collision_search.products(x, x[q])
+        assert all(s == want[i] for _, i, s in rows)
+    assert got[0][0][2] == np.inf and got[40][0][2] < np.inf
+
+
+def test_threshold_of_collisions():
+    rng = np.random.default_rng(3)
+    need = collision_search.threshold(64, 1.0, 0.05)
+    hits = (np.abs(rng.standard_normal((20000, 64))) <= 1).sum(axis=1)
+    assert (hits < need).mean() <= 0.06 and (hits < need + 1).mean() > 0.04
+
+
+def test_more_pivots_for_more_vectors(spark, monkeypatch):
+    monkeypatch.setattr(pivot_index, "PER_PIVOT", 3)
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((400, 16))
+    rows = [(int(i), [float(x) for x in centres[i % 400] + rng.standard_normal(16) * 0.05], 1) for i in range(1200)]
+    got = {r.vec_id: r.n_links for r in pivot_index.near_duplicates(frame(spark, rows)).collect()}
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    linked = (x @ x.T >= 0.98).sum() - len(x)
+    assert 0.99 * linked <= sum(got.values()) <= linked
