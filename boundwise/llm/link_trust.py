@@ -2,8 +2,9 @@
 
 Hosts are nodes; a page's links to other hosts are edges, weighted by their number. Trust starts at hosts by how many of
 their pages the rules allow and follows links (personalised PageRank); distrust starts by how many they block and follows
-links backwards, from a host to those that link to it. A host is blocked if its distrust is above its trust and is more
-than ``DENSITY`` of what it would be if all its pages were blocked; its pages that no rule fits share its verdict.
+links backwards, from a host to those that link to it. Mass at hosts without further links returns to the seeds. A host is
+blocked if its distrust is above its trust, and it holds more than ``DENSITY`` of what it would get as a seed, were all its
+pages blocked; its pages that no rule fits share its verdict.
 
 Only DataFrame functions; edges and pages of a host are pre-aggregated before each shuffle.
 
@@ -21,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import Steps, lookup, save
 
 
 class Rule(NamedTuple):
@@ -83,24 +84,32 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def propagated(seeds: DataFrame, edges: DataFrame, follow: float = FOLLOW, rounds: int | None = None, change: float = CHANGE) -> DataFrame:
-    """(host, mass): PageRank from seeds (host, seed) along edges (src, dst, n). Each round's ranks are saved; it ends when the
-    ranks change by less than this share of the seeds, as they do after some rounds on any graph; rounds is for fewer."""
+    """(host, mass): PageRank from seeds (host, seed) along edges (src, dst, n); all mass is the seeds'."""
+    return _propagated(seeds, edges, follow, rounds, change)[0]
+
+
+def _propagated(seeds: DataFrame, edges: DataFrame, follow: float = FOLLOW, rounds: int | None = None, change: float = CHANGE) -> tuple[DataFrame, float]:
+    """The ranks, and the share of a seed that its host has of it by itself. Each round's ranks are saved; it ends when the ranks
+    change by less than this share of the seeds, as they do after some rounds on any graph; rounds is for fewer.
+
+    What a host without links would pass on goes back to the seeds, by their shares. That only makes all ranks larger by one
+    factor, so it is done once, at the end."""
     total = seeds.agg(F.sum("seed")).first()[0] or 0
-    ranks = seeds.select("host", (F.col("seed") * (1 - follow)).alias("mass"))
     if not total or edges.isEmpty():
-        return ranks
-    out = edges.groupBy("src").agg(F.sum("n").alias("all"))
-    shares = save(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
-    start = ranks
-    for _ in range(rounds_to(change, follow) if rounds is None else rounds):
-        moved = shares.join(ranks.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("mass") * F.col("share") * follow).alias("mass"))
-        rows = start.unionByName(moved).withColumn("old", F.lit(0.0)).unionByName(ranks.select("host", F.lit(0.0).alias("mass"), F.col("mass").alias("old")))
-        both = save(rows.groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old")), "ranks")
-        moved_by = both.agg(F.sum(F.abs(F.col("mass") - F.col("old")))).first()[0]
-        ranks = both.select("host", "mass")
-        if moved_by < change * total:
-            break
-    return ranks
+        return seeds.select("host", F.col("seed").cast("double").alias("mass")), 1.0
+    with Steps(seeds.sparkSession) as steps:
+        out = edges.groupBy("src").agg(F.sum("n").alias("all"))
+        shares = save(lookup(edges, save(out, "out"), ["src"]).select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
+        start = ranks = save(seeds.select("host", (F.col("seed") * (1 - follow)).alias("mass")), "ranks")
+        for _ in range(rounds_to(change, follow) if rounds is None else rounds):
+            moved = lookup(shares, ranks.withColumnRenamed("host", "src"), ["src"]).select(F.col("dst").alias("host"), (F.col("mass") * F.col("share") * follow).alias("mass"))
+            rows = start.unionByName(moved).withColumn("old", F.lit(0.0)).unionByName(ranks.select("host", F.lit(0.0).alias("mass"), F.col("mass").alias("old")))
+            both = save(rows.groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old")), "ranks")
+            moved_by, held = both.agg(F.sum(F.abs(F.col("mass") - F.col("old"))), F.sum("mass")).first()
+            ranks = both.select("host", "mass")
+            if moved_by < change * total:
+                break
+        return steps.keep(ranks.select("host", (F.col("mass") * (total / held)).alias("mass")), "ranks"), (1 - follow) * total / held
 
 
 def hosts(pages: DataFrame, rules: Sequence[Rule] = RULES, follow: float = FOLLOW, density: float = DENSITY) -> DataFrame:
@@ -109,16 +118,16 @@ def hosts(pages: DataFrame, rules: Sequence[Rule] = RULES, follow: float = FOLLO
     seen = ruled(pages, rules).filter("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"), F.coalesce(is_("allow"), F.lit(0.0)).alias("allowed"), F.coalesce(is_("block"), F.lit(0.0)).alias("banned"))
     seen, edges = save(seen, "hosts"), save(links(pages), "edges")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    trust = propagated(seen.select("host", F.col("allowed").alias("seed")), edges, follow).withColumnRenamed("mass", "trust")
-    distrust = propagated(seen.select("host", F.col("banned").alias("seed")), back, follow).withColumnRenamed("mass", "distrust")
-    out = seen.join(trust, "host", "left").join(distrust, "host", "left")
+    trust, _ = _propagated(seen.select("host", F.col("allowed").alias("seed")), edges, follow)
+    distrust, own = _propagated(seen.select("host", F.col("banned").alias("seed")), back, follow)
+    out = seen.join(trust.withColumnRenamed("mass", "trust"), "host", "left").join(distrust.withColumnRenamed("mass", "distrust"), "host", "left")
     out = out.select("host", "n_pages", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    return out.withColumn("blocked", (F.col("distrust") > F.col("trust")) & (F.col("distrust") > density * (1 - follow) * F.col("n_pages")))
+    return out.withColumn("blocked", (F.col("distrust") > F.col("trust")) & (F.col("distrust") > density * own * F.col("n_pages")))
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, **options) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
-    judged_hosts = hosts(pages, rules, **options).select("host", "blocked")
-    out = ruled(pages, rules).join(judged_hosts, "host", "left")
+    judged_hosts = save(hosts(pages, rules, **options).select("host", "blocked"), "judged")
+    out = lookup(ruled(pages, rules), judged_hosts, ["host"], "left")
     method = F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"))
