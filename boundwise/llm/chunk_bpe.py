@@ -89,16 +89,43 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(t.batch.column(c) for c in keys), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], [*keys, "n_tokens", "ids"])
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own = encoding()
-    names = [str(i) for i in range(own.n_vocab)]
-    for t in texts(batches, "ids"):
-        shas, decoded = [], []
-        for i in range(len(t)):
-            ids = np.frombuffer(t.raw(i), "<u4").tolist()
-            shas.append(hashlib.sha256(",".join([names[k] for k in ids]).encode()).hexdigest())
-            decoded.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
-        yield pa.RecordBatch.from_arrays([t.batch.column("doc_id"), t.batch.column("n_tokens"), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+def _digested(rows: list[np.ndarray]) -> list[pa.Array]:
+    """Digests of each row's ids, and of the bytes that they decode to."""
+    own, names = encoding(), _names()
+    ids = [x.tolist() for x in rows]
+    shas = [hashlib.sha256(",".join([names[k] for k in x]).encode()).hexdigest() for x in ids]
+    decoded = [hashlib.sha256(own.decode_bytes(x)).hexdigest() for x in ids]
+    return [pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
+
+
+@lru_cache(maxsize=1)
+def _names() -> list[str]:
+    return [str(i) for i in range(encoding().n_vocab)]
+
+
+def _encoded_and_digested(with_ids: bool):
+    def encoded_and_digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Short texts, in one go."""
+        for t in texts(batches):
+            ids = [np.asarray(encoding().encode_ordinary(t.raw(i).decode()), "<u4") for i in range(len(t))]
+            yield _row_batch(t.batch.column("doc_id"), ids, with_ids)
+
+    return encoded_and_digested
+
+
+def _only_digested(with_ids: bool):
+    def only_digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in texts(batches, "ids"):
+            yield _row_batch(t.batch.column("doc_id"), [np.frombuffer(t.raw(i), "<u4") for i in range(len(t))], with_ids)
+
+    return only_digested
+
+
+def _row_batch(doc_id: pa.Array, ids: list[np.ndarray], with_ids: bool) -> pa.RecordBatch:
+    columns = [doc_id, pa.array([len(x) for x in ids], pa.int64()), *_digested(ids)]
+    if with_ids:
+        columns.append(pa.array([x.tobytes() for x in ids], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +168,10 @@ def encoded(documents: DataFrame) -> DataFrame:
     return arrow(docs.filter(~long), _encoded, "doc_id long, n_tokens long, ids binary").unionByName(_long(docs.filter(long)))
 
 
-def digests(documents: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, and decoded again from the ids."""
-    return arrow(encoded(documents), _digested, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(documents: DataFrame, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, and decoded again from the ids; and, if asked for, ids."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    long = F.char_length("text") > CHUNK
+    short = arrow(docs.filter(~long), _encoded_and_digested(with_ids), schema)
+    return short.unionByName(arrow(_long(docs.filter(long)), _only_digested(with_ids), schema))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTES, Rolling, Texts, Words, arrow, texts
+from .common import BYTES, Rolling, Texts, Words, arrow, texts
 from .learning import fold, labelled
 
 BITS = 20
@@ -54,7 +54,7 @@ class Sentences:
 
 def sentences(t: Texts) -> Sentences:
     w = Words(t, _LETTER)
-    rolling = Rolling(_BYTES[0][_LOWER[t.data]])
+    rolling = Rolling(BYTES[_LOWER[t.data]])
     hashes = rolling.spans(w.starts, w.ends)
     ends = np.concatenate([[0], np.cumsum(_END[t.data])])
     new = np.ones(len(hashes), bool)
@@ -83,8 +83,19 @@ class Model:
         return _sigmoid(self.bias + _sums(self.weights[s.buckets], s.buckets, s.sentence, len(s.row)))
 
     def scores(self, t: Texts) -> np.ndarray:
+        return self.judged(t)[0]
+
+    def judged(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The score of each text, how many sentences offend by themselves, and which one does most (from 0; -1: there is none)."""
         s = sentences(t)
-        return 1 - np.exp(np.bincount(s.row, np.log1p(-np.minimum(self.sentence_scores(s), 1 - 1e-12)), len(t)))
+        own = self.sentence_scores(s)
+        offends = own >= 0.5
+        order = np.lexsort((np.arange(len(own)), -own, s.row))
+        first = np.searchsorted(s.row, np.arange(len(t)))  # rows of sentences ascend
+        worst, some = np.full(len(t), -1), np.flatnonzero(np.diff(np.append(first, len(own))) > 0)
+        worst[some] = order[first[some]] - first[some]
+        scores = 1 - np.exp(np.bincount(s.row, np.log1p(-np.minimum(own, 1 - 1e-12)), len(t)))
+        return scores, np.bincount(s.row, offends, len(t)).astype(np.int64), worst
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -153,16 +164,19 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 def _score(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in texts(batches):
-            yield pa.RecordBatch.from_arrays([t.batch.column("doc_id"), pa.array(model.scores(t), pa.float64())], ["doc_id", "score"])
+            scores, offending, worst = model.judged(t)
+            found = pa.array(worst, pa.int64(), mask=worst < 0)
+            yield pa.RecordBatch.from_arrays([t.batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(offending), found], ["doc_id", "score", "n_offending", "worst_sentence"])
 
     return score
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted of each whole text."""
+    """doc_id, held_out, score, predicted of each whole text; n_offending: how many of its sentences score 0.5 or more by themselves;
+    worst_sentence: which one scores most, from 0, null without sentences."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = arrow(docs, _score(model), "doc_id long, score double")
-    return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = arrow(docs, _score(model), "doc_id long, score double, n_offending long, worst_sentence long")
+    return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_offending", "worst_sentence")
 
 
 def located(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from boundwise.llm import chunk_bpe, cover_dedup, lsh_forest, mixing, subword_quality
-from boundwise.llm.common import save, table
+from boundwise.llm.common import Steps, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +28,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document; a second pass over it is a row of its own."""
+    """What the mix takes of each document; a second pass over it is a row of its own. Texts without words, null ones among them,
+    are never taken; a null source is a source, the last one."""
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of each text's ids and of the bytes they decode to."""
-    return chunk_bpe.digests(docs)
+    """doc_id, n_tokens, the digests of each text's ids and of the bytes they decode to, and ids, the training data itself: the
+    ids as little-endian unsigned 32-bit integers. A null text has none; a null doc_id is carried along."""
+    return chunk_bpe.digests(docs, with_ids=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mix", mix), ("tokens", tokens)]
@@ -44,7 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), name)
-    return docs
+    """The last stage's rows, written to the shared folder. What the stages have saved on the way is removed: their own steps behind
+    each of them, their results at the end."""
+    with Steps(spark) as all_steps:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            with Steps(spark) as steps:
+                docs = steps.keep(stage(spark, docs, sf_dir), name)
+        name, stage = STAGES[-1]
+        return all_steps.keep(stage(spark, docs, sf_dir), name)

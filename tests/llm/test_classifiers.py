@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -101,3 +102,59 @@ def test_documents_that_are_rejected_go(spark):
     model = subword_quality.train(docs, table(spark, "/root/testdata/sf0.01", "labels"))
     kept = {r.doc_id for r in subword_quality.accepted(docs, model).collect()}
     assert kept == {r.doc_id for r in subword_quality.scored(docs, model).collect() if r.predicted == 1}
+
+
+def naive_quality(model, text):
+    """One text, feature by feature."""
+    def bucket(word, kind):
+        sets = [b for b, _ in subword_quality.features(Texts(pa.record_batch({"text": [word]})))]
+        return int(sets[kind][0])
+
+    words = [w for w in re.split("[ \t-\r]+", text or "") if w]
+    kinds = [[bucket(w, 0) for w in words]]
+    back = []
+    for i, w in enumerate(words):
+        lags = [k for k in range(1, subword_quality.LAGS + 1) if i >= k and words[i - k] == w]
+        back.append((2 << subword_quality.BITS) + (min(lags) if lags else 0))
+    if subword_quality.LAGS:
+        kinds.append(back)
+    for k, n in enumerate(subword_quality.NGRAMS):
+        grams = [w[i : i + n] for w in words for i in range(len(w) - n + 1)]
+        kinds.append([bucket(g, len(kinds) - k + k) for g in grams])
+    z = model.bias + sum(np.mean(model.weights[b]) if b else 0 for b in kinds) / subword_quality.KINDS
+    return 1 / (1 + np.exp(-z))
+
+
+def naive_toxicity(model, text):
+    lower = "".join(c.lower() if c.isascii() else c for c in text or "")
+    clean, each = 1.0, []
+    for sentence in re.split("[\n\r!.?]", lower):
+        buckets = set()
+        for w in re.findall("[a-z\x80-\U0010ffff]+", sentence):
+            s = mil_toxicity.sentences(Texts(pa.record_batch({"text": [w]})))
+            buckets |= set(s.buckets.tolist())
+        if buckets:
+            p = 1 / (1 + np.exp(-(model.bias + sum(model.weights[b] for b in buckets))))
+            clean *= 1 - p
+            each.append(p)
+    return 1 - clean, each
+
+
+TEXTS = ["good words, good good words here", "bad | bad | bad", "", None, "Ünïcödé wörds and więcej; a", "x", "a a b a. You are bad! Bad\nbad? fine", "words\twords\x0bhere " * 5]
+
+
+def test_scores_match_brute_force(spark):
+    rows = [(i, f"good words here {i % 5}" if i % 2 else "bad | bad | bad. fine words") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2, "x") for i in range(60)], LABELS)
+    docs = frame(spark, [(i, t) for i, t in enumerate(TEXTS)])
+    model = subword_quality.train(frame(spark, rows), labels)
+    got = {r.doc_id: r.score for r in subword_quality.scored(docs, model).collect()}
+    assert [got[i] for i in range(len(TEXTS))] == pytest.approx([naive_quality(model, t) for t in TEXTS], abs=1e-9)
+    model = mil_toxicity.train(frame(spark, rows), labels)
+    found = {r.doc_id: r for r in mil_toxicity.scored(docs, model).collect()}
+    want = [naive_toxicity(model, t) for t in TEXTS]
+    assert [found[i].score for i in range(len(TEXTS))] == pytest.approx([x for x, _ in want], abs=1e-9)
+    for i, (_, each) in enumerate(want):
+        assert found[i].n_offending == sum(p >= 0.5 for p in each)
+        assert each[found[i].worst_sentence] == pytest.approx(max(each)) if each else found[i].worst_sentence is None
+    assert len({x for x, _ in want}) > 3

@@ -1,10 +1,11 @@
 import hashlib
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import pytest
 from boundwise.llm import chunk_bpe, mixing, subword_quality
-from boundwise.llm.common import save, table
+from boundwise.llm.common import save, shared_dir, table
 from test_texts import jaccard_groups, without_repeats, words
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +22,10 @@ def stages(spark):
 
 
 def test_run_is_its_stages(spark, stages):
+    folder = Path(shared_dir(spark).removeprefix("file://"), "boundwise")
+    before = set(folder.iterdir())
     got = sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
+    assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before] == ["tokens"]
     assert got == sorted(map(tuple, stages["tokens"][1].collect()))
     columns = table(spark, SF, "documents").columns
     assert all(stages[name][1].columns == columns for name, _ in corpus_pipeline.STAGES[:-1])
@@ -63,7 +67,7 @@ def test_tokens(stages):
     want = []
     for r in docs.collect():
         ids = chunk_bpe.encoding().encode_ordinary(r.text)
-        want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()))
+        want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest(), np.array(ids, "<u4").tobytes()))
     assert sorted(map(tuple, out.collect())) == sorted(want)
 
 
