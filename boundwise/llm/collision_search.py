@@ -32,7 +32,7 @@ from .common import save, ship
 from .vectors import matrix, vectors
 
 NEIGHBOURS = 20
-PROJECTIONS, WIDTH, MISS = 128, 1.0, 0.1
+PROJECTIONS, WIDTH, MISS = 96, 2.0, 0.16
 #: Radii of the rounds: the first, and the growth.
 RADIUS, GROWTH = 0.05, 1.1
 #: Norms of a range differ by this factor at most; the last of so many ranges holds all shorter vectors.
@@ -86,15 +86,21 @@ class Range:
         self.order = order.ravel()
         self.ends = (np.arange(len(at) + 1) * len(y)).astype(np.int64)
 
-    def widened(self, at: np.ndarray, width: float, low: np.ndarray, high: np.ndarray):
+    def widened(self, at: np.ndarray, width: float, low: np.ndarray | None, high: np.ndarray | None):
         """How often each direction comes newly into windows of this half width around at, once those from low to high were counted."""
         reach = min(width, self.apart / 2)
         centre = np.clip(at, -self.apart / 4, self.apart / 4) + self.line
-        new_low = np.minimum(np.searchsorted(self.sorted, centre - reach, "left"), low)
-        new_high = np.maximum(np.searchsorted(self.sorted, centre + reach, "right"), high)
+        new_low, new_high = np.searchsorted(self.sorted, centre - reach, "left"), np.searchsorted(self.sorted, centre + reach, "right")
+        if low is None or high is None:
+            if 2 * int((new_high - new_low).sum()) > len(self.order):  # fewer are outside
+                return len(self.line) - self._counted((self.ends[:-1], new_low), (new_high, self.ends[1:])), new_low, new_high
+            return self._counted((new_low, new_high)), new_low, new_high
+        return self._counted((new_low, low), (high, new_high)), new_low, new_high
+
+    def _counted(self, *spans: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         order = self.order
-        parts = [order[a:b] for a, b in zip(new_low.tolist(), low.tolist(), strict=True)] + [order[a:b] for a, b in zip(high.tolist(), new_high.tolist(), strict=True)]
-        return np.bincount(np.concatenate(parts), minlength=len(self.y)), new_low, new_high
+        parts = [order[a:b] for begins, ends in spans for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+        return np.bincount(np.concatenate(parts), minlength=len(self.y))
 
 
 class Index:
@@ -127,8 +133,8 @@ class Index:
             if best > r.most * (1 + _SLACK):
                 break
             # the round before the one that the last query ended with
-            level, done, counts = max(0, self.guesses[nth] - 2), ~other[r.rows], np.zeros(len(r.rows), np.int64)
-            low = high = np.searchsorted(r.sorted, np.clip(at, -r.apart / 4, r.apart / 4) + r.line)
+            level, done, counts = max(0, self.guesses[nth] - 1), ~other[r.rows], np.zeros(len(r.rows), np.int64)
+            low = high = None
             while True:
                 radius = RADIUS * GROWTH**level
                 more, low, high = r.widened(at, self.width * radius, low, high)
