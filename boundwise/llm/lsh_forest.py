@@ -42,7 +42,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES, RECALL = 20, 0.9999
 #: The floor is at most so long; levels of a path beyond it, and the bits that each of those has.
-LONGEST, LONGER, BITS = 8, 4, 16
+LONGEST, LONGER, BITS = 8, 2, 32
 #: Nodes of more documents than this are crowded.
 CROWDED = 64
 #: A block of a group has about so many documents and so many bytes of text at most.
