@@ -6,7 +6,7 @@ import math
 from typing import NamedTuple
 
 #: What the native sketches of Spark take at most.
-NATIVE_HLL_PRECISION, NATIVE_KLL_K = 21, 65535
+NATIVE_HLL_PRECISION, NATIVE_KLL_K, NATIVE_TOP_K = 21, 65535, 1_000_000
 #: Defaults of sketches that an insert starts without a hint.
 DEFAULT_EPSILON, DEFAULT_CONFIDENCE, DEFAULT_K = 0.05, 0.90, 10
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -34,12 +35,12 @@ def estimates(cells_: DataFrame, targets: DataFrame, target: str, width: int, de
     return found.groupBy(*targets.columns).agg(F.min(F.coalesce("c", F.lit(0).cast("long"))).alias(name))
 
 
-def probe_sql(value: str, target: str, width: int, depth: int, seed: int = 0) -> str:
-    """SQL for one target's estimate without building the table: the sketch's cells that the target is in, each a conditional
-    count, and the least of them. Values and target are compared by their text."""
-    text = f"CAST({value} AS STRING)"
-    counts = [f"count_if(({value}) IS NOT NULL AND pmod(xxhash64({seed + r}L, {text}), {width}L) = pmod(xxhash64({seed + r}L, {target}), {width}L))" for r in range(depth)]
-    return f"CAST(least({', '.join(counts)}) AS BIGINT)"
+def join_size(a: DataFrame, b: DataFrame, name: str = "estimate") -> DataFrame:
+    """One row: the estimated number of pairs with equal values of two columns, from their cells of one width, depth and seed: the least
+    of the rows' inner products. Never below the true number."""
+    both = a.select("row", "bucket", F.col("c").alias("ca")).join(b.select("row", "bucket", F.col("c").alias("cb")), ["row", "bucket"], "left")
+    sums = both.groupBy("row").agg(F.sum(F.col("ca") * F.coalesce("cb", F.lit(0).cast("long"))).alias("s"))
+    return sums.agg(F.coalesce(F.min("s"), F.lit(0).cast("long")).alias(name))
 
 
 class Summary:
@@ -104,6 +105,40 @@ def summary(df: DataFrame, value: Column, capacity: int) -> DataFrame:
     return parts.groupBy("value").agg(F.sum("counter").alias("counter"), F.sum("off").alias("off"), F.sum("lost").alias("lost"))
 
 
+def _sketches(width: int, depth: int, capacity: int):
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, table = Summary(capacity), np.zeros((depth, width), np.int64)
+        for batch in batches:
+            found = pc.value_counts(batch.column(0))
+            s.add(dict(zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True)))
+            for r in range(depth):
+                at, n = np.unique(batch.column(1 + r).to_numpy(), return_counts=True)
+                table[r, at] += n
+        row, bucket = np.nonzero(table)
+        none = pa.nulls(len(row), pa.string())
+        zero = pa.array(np.zeros(len(row), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(bucket, pa.int32()), none, pa.array(table[row, bucket]), zero, zero], _SKETCHES)
+        rows = [(v, n, s.errors[v] - s.lost, 0) for v, n in s.counters.items()] + ([(None, 0, 0, s.lost)] if s.lost else [])
+        if rows:
+            no = pa.nulls(len(rows), pa.int32())
+            value, *numbers = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([no, no, pa.array(value, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)], _SKETCHES)
+
+    return sketches
+
+
+_SKETCHES = ["row", "bucket", "value", "counter", "off", "lost"]
+
+
+def sketched(df: DataFrame, value: Column, width: int, depth: int, capacity: int, seed: int = 0) -> DataFrame:
+    """Cells and summary of a column's texts from one pass: rows with row and bucket are the non-zero cells, their count in counter,
+    the others are those of ``summary``."""
+    rows = df.select(value.cast("string").alias("v")).filter("v is not null")
+    buckets = [F.pmod(hashed(F.col("v"), seed + r, False), F.lit(width)).cast("int").alias(f"b{r}") for r in range(depth)]
+    parts = arrow(rows.select("v", *buckets), _sketches(width, depth, capacity), "row int, bucket int, value string, counter long, off long, lost long")
+    return parts.groupBy("row", "bucket", "value").agg(*(F.sum(c).alias(c) for c in ("counter", "off", "lost")))
+
+
 def top_k(summary_: DataFrame, k: int) -> DataFrame:
     """(value, estimate, error), highest estimates first, then by value. estimate - error <= true count <= estimate."""
     lost = summary_.filter("value is null").agg(F.coalesce(F.sum("lost"), F.lit(0)).alias("all_lost"))

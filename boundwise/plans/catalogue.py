@@ -1,8 +1,9 @@
 """Registered queries with DuckDB SQL for those that another engine can compute.
 
 The portable (MD5) hash lets another engine repeat a sketch register by register; queries named so run real sketches.
-``*_small`` are the exact rank rule, which a sketch gives as long as it holds all values. ``*_bounds`` run native sketches,
-whose values aren't repeatable; they report whether the error is within the bounds, and have no SQL.
+``exact_rank_*`` are the exact rank rule; ``approx_quartiles_small`` are sketches that still hold all values, which give just
+that. ``*_bounds`` and the queries of sessions run native sketches, whose values aren't repeatable: they report exact numbers
+and whether the sketch's value is within its bounds of them, which the SQL expects to be so.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from .. import bounds
 from ..operators import frequency, hll, quantiles
 from ..session import Session
 from ..sources import registry as reg
-from ..streaming import windowed
+from ..streaming import estimates, windowed
+from . import statements as st
 from .calls import rewritten
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -56,12 +58,13 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct users, quartiles and the frequency of a user by event type, in one statement."""
+    """Distinct users, quartiles, the frequency of a user and the three most frequent users by event type, in one statement."""
     views(spark, sf_dir, "events")
     return spark.sql(rewritten(f"""
       SELECT event_type, approx_count_distinct(user_id, {EPSILON}, {CONFIDENCE}) AS users,
              approx_25(value, {EPSILON}, {CONFIDENCE}) AS q25, approx_median(value, {EPSILON}, {CONFIDENCE}) AS q50,
-             approx_75(value, {EPSILON}, {CONFIDENCE}) AS q75, approx_freq(user_id, 1, {EPSILON}, {CONFIDENCE}) AS user_1
+             approx_75(value, {EPSILON}, {CONFIDENCE}) AS q75, approx_freq(user_id, 1, {EPSILON}, {CONFIDENCE}) AS user_1,
+             approx_top_k(user_id, 3, {EPSILON}, {CONFIDENCE}) AS top_users
       FROM events GROUP BY event_type ORDER BY event_type"""))
 
 
@@ -82,7 +85,8 @@ _EXACT = {
 def _through_session(sql: str, *names: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir)
-        return Session(spark, hash_seed=SEED).sql(sql)
+        with Session(spark, hash_seed=SEED) as session:
+            return session.sql(sql)
 
     return run
 
@@ -94,7 +98,8 @@ for _name, _sql in _EXACT.items():
 @query("SELECT quantile_cont(l_extendedprice, 0.5) AS median FROM lineitem")
 def exact_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir, "lineitem")
-    return Session(spark, hash_seed=SEED).sql("SELECT percentile(l_extendedprice, 0.5) AS median FROM lineitem")
+    with Session(spark, hash_seed=SEED) as session:
+        return session.sql("SELECT percentile(l_extendedprice, 0.5) AS median FROM lineitem")
 
 
 # HyperLogLog, by registers
@@ -161,9 +166,9 @@ def hll_union_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 W, D, _ = bounds.cms_dims(EPSILON, CONFIDENCE)
 
 
-def _cells(value: str, source: str) -> str:
-    return f"""b AS (SELECT unnest(range(0, {D})) AS row, {value}::VARCHAR AS v FROM {source} WHERE {value} IS NOT NULL),
-      cells AS (SELECT row::INT AS row, (('0x' || substr(md5(({SEED} + row)::VARCHAR || '|' || v), 1, 15))::BIGINT % {W}) AS bucket, count(*) AS c FROM b GROUP BY 1, 2)"""
+def _cells(value: str, source: str, name: str = "cells") -> str:
+    return f"""{name}_b AS (SELECT unnest(range(0, {D})) AS row, {value}::VARCHAR AS v FROM {source} WHERE {value} IS NOT NULL),
+      {name} AS (SELECT row::INT AS row, (('0x' || substr(md5(({SEED} + row)::VARCHAR || '|' || v), 1, 15))::BIGINT % {W}) AS bucket, count(*) AS c FROM {name}_b GROUP BY 1, 2)"""
 
 
 def _asked(targets: str, value: str) -> str:
@@ -199,6 +204,18 @@ def approx_freq_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.estimates(_events_cells(spark, sf_dir), absent, "user_id", W, D, SEED, portable=True)
 
 
+@query(f"""WITH {_cells('o_custkey', 'orders', 'x')}, {_cells('c_custkey', 'customer', 'y')},
+  s AS (SELECT row, sum(x.c * coalesce(y.c, 0)) AS s FROM x LEFT JOIN y USING (row, bucket) GROUP BY row),
+  e AS (SELECT count(*) AS exact FROM orders JOIN customer ON o_custkey = c_custkey)
+  SELECT min(s)::BIGINT AS estimate, any_value(exact) AS exact, min(s) >= any_value(exact) AS covers FROM s, e""")
+def join_size_orders_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of a join from the sketches of its two columns, beside the true one."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    a, b = (frequency.cells(t, F.col(c), W, D, seed=SEED, portable=True) for t, c in ((orders, "o_custkey"), (customer, "c_custkey")))
+    exact = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).agg(F.count(F.lit(1)).alias("exact"))
+    return frequency.join_size(a, b).crossJoin(F.broadcast(exact)).withColumn("covers", F.col("estimate") >= F.col("exact"))
+
+
 # top-k
 
 @query("SELECT event_type AS value, count(*) AS estimate, 0::BIGINT AS error FROM events WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
@@ -207,15 +224,31 @@ def approx_topk_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.top_k(frequency.summary(table(spark, sf_dir, "events"), F.col("event_type"), capacity), 3)
 
 
-@query()
+#: Three frequent values in a long tail, far more different ones than a summary has counters.
+_SKEWED = "CASE WHEN l_orderkey % 5 = 0 THEN -1 WHEN l_orderkey % 8 = 1 THEN -2 WHEN l_orderkey % 9 = 2 THEN -3 ELSE l_partkey * 7 + l_linenumber END"
+
+
+@query(f"""WITH v AS (SELECT ({_SKEWED})::BIGINT AS value FROM lineitem) SELECT value, count(*) AS exact, true AS within_eps, 20::BIGINT AS counters FROM v GROUP BY 1
+  ORDER BY 2 DESC LIMIT 3""")
 def topk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, k = table(spark, sf_dir, "lineitem"), 10
-    best = frequency.top_k(frequency.summary(items, F.col("l_suppkey"), bounds.topk_capacity(k, EPSILON).value), k)
-    true = items.groupBy(F.col("l_suppkey").alias("value")).agg(F.count(F.lit(1)).alias("exact"))
-    n = items.filter("l_suppkey is not null").agg(F.count(F.lit(1)).alias("n"))
-    out = best.join(true, "value").crossJoin(F.broadcast(n))
-    within = F.col("exact").between(F.col("estimate") - F.col("error"), F.col("estimate")) & (F.col("error") <= EPSILON * F.col("n"))
-    return out.select("value", "estimate", "error", "exact", within.alias("within_eps"))
+    """The three most frequent values from a summary that has had to evict thousands."""
+    items, k = table(spark, sf_dir, "lineitem").select(F.expr(_SKEWED).cast("long").alias("v")), 3
+    capacity = bounds.topk_capacity(k, EPSILON).value
+    best = frequency.top_k(frequency.summary(items, F.col("v"), capacity), k)
+    true = items.groupBy(F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("exact"))
+    n = items.agg(F.count("v").alias("n"))
+    out = best.join(true, "value").crossJoin(F.broadcast(n))  # one row
+    within = F.col("exact").between(F.col("estimate") - F.col("error"), F.col("estimate")) & (F.col("estimate") - F.col("exact") <= EPSILON * F.col("n"))
+    return out.select("value", "exact", within.alias("within_eps"), F.lit(capacity).cast("long").alias("counters"))
+
+
+@query("SELECT l_returnflag, l_linestatus AS value, count(*) AS estimate FROM lineitem GROUP BY 1, 2")
+def approx_topk_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k in groups, through a session: an array for each group, opened here."""
+    views(spark, sf_dir, "lineitem")
+    with Session(spark, hash_seed=SEED) as session:
+        got = session.sql(f"SELECT l_returnflag, approx_top_k(l_linestatus, 5, {EPSILON}, {CONFIDENCE}) AS best FROM lineitem GROUP BY l_returnflag")
+    return got.select("l_returnflag", F.explode("best").alias("x")).select("l_returnflag", F.col("x.item").alias("value"), F.col("x.count").alias("estimate"))
 
 
 # quantiles
@@ -232,39 +265,67 @@ def _small(p: float):
 
 
 for _name, _p in quantiles.QUARTILES.items():
-    _queries[f"{_name}_small"], _oracles[f"{_name}_small"] = _small(_p), _rank_rule(_p)
+    _queries[f"exact_rank_{round(100 * _p)}"], _oracles[f"exact_rank_{round(100 * _p)}"] = _small(_p), _rank_rule(_p)
+
+
+def _small_rule(p: float) -> str:
+    return f"(SELECT n_nationkey::DOUBLE FROM nation ORDER BY n_nationkey LIMIT 1 OFFSET (SELECT ceil({p}::DOUBLE * (count(*) - 1))::BIGINT FROM nation))"
+
+
+@query(f"SELECT {', '.join(f'{_small_rule(p)} AS {name}' for name, p in quantiles.QUARTILES.items())}")
+def approx_quartiles_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantile sketches of few values, through a session."""
+    views(spark, sf_dir, "nation")
+    with Session(spark, hash_seed=SEED) as session:
+        return session.sql(f"SELECT {', '.join(f'{name}(n_nationkey, {EPSILON}, {CONFIDENCE}) AS {name}' for name in quantiles.QUARTILES)} FROM nation")
+
+
+def _ranks(spark: SparkSession, sf_dir: str, estimates_: dict[float, float]) -> DataFrame:
+    """p, n and whether each estimate's rank among all prices is within the bound, from one pass."""
+    x = F.col("l_extendedprice")
+    sums = [F.sum((x < q).cast("long")).alias(f"b{i}") for i, q in enumerate(estimates_.values())] + [F.sum((x <= q).cast("long")).alias(f"u{i}") for i, q in enumerate(estimates_.values())]
+    got = table(spark, sf_dir, "lineitem").agg(F.count(x).alias("n"), *sums)
+    rows = [F.struct(F.lit(p).alias("p"), F.col("n"), ((F.col(f"b{i}") / F.col("n") - EPSILON <= p) & (F.col(f"u{i}") / F.col("n") + EPSILON >= p)).alias("within_eps")) for i, p in enumerate(estimates_)]
+    return got.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-@query()
+_RANKS = "SELECT p, n, true AS within_eps FROM (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) v(p), (SELECT count(l_extendedprice) AS n FROM lineitem)"
+
+
+@query(_RANKS)
 def approx_quantile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each quartile's estimate with its rank among all values."""
+    """Each quartile by a kept sketch, by its rank among all values."""
     views(spark, sf_dir, "lineitem")
-    names = list(quantiles.QUARTILES)
-    items = ", ".join(f"{n}(l_extendedprice, {EPSILON}, {CONFIDENCE}) AS {n}" for n in names)
-    got = spark.sql(rewritten(f"SELECT {items} FROM lineitem"))
-    rows = got.select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(n).alias("estimate")) for n, p in quantiles.QUARTILES.items()])).alias("x")).select("x.*")
-    values = table(spark, sf_dir, "lineitem").select("l_extendedprice")
-    ranks = values.crossJoin(F.broadcast(rows)).groupBy("p", "estimate").agg((F.sum((F.col("l_extendedprice") < F.col("estimate")).cast("int")) / F.count(F.lit(1))).alias("below"), (F.sum((F.col("l_extendedprice") <= F.col("estimate")).cast("int")) / F.count(F.lit(1))).alias("upto"))
-    return ranks.withColumn("within_eps", (F.col("below") - EPSILON <= F.col("p")) & (F.col("p") <= F.col("upto") + EPSILON))
+    with Session(spark, hash_seed=SEED) as session:
+        got = {p: session.value(f"SELECT {name}(l_extendedprice, {EPSILON}, {CONFIDENCE}) FROM lineitem") for name, p in quantiles.QUARTILES.items()}
+    return _ranks(spark, sf_dir, got)
 
 
-@query()
+@query("SELECT count(DISTINCT l_orderkey) AS exact, true AS within_eps, true AS grouped_within_eps FROM lineitem")
 def approx_count_distinct_native_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The native HLL that SQL runs, and the same in groups."""
     views(spark, sf_dir, "lineitem")
-    out = spark.sql(rewritten(f"SELECT approx_count_distinct(l_orderkey, {EPSILON}, {CONFIDENCE}) AS estimate, count(DISTINCT l_orderkey) AS exact FROM lineitem"))
-    return out.withColumn("within_eps", F.abs(F.col("estimate") - F.col("exact")) <= EPSILON * F.col("exact"))
+    call = f"approx_count_distinct(l_orderkey, {EPSILON}, {CONFIDENCE}) AS estimate, count(DISTINCT l_orderkey) AS exact"
+    within = F.abs(F.col("estimate") - F.col("exact")) <= EPSILON * F.col("exact")
+    with Session(spark, hash_seed=SEED) as session:
+        groups = session.sql(f"SELECT l_returnflag, {call} FROM lineitem GROUP BY l_returnflag").agg(F.min(within).alias("grouped_within_eps"))
+        whole = session.sql(f"SELECT {call} FROM lineitem").select("exact", within.alias("within_eps"))
+    return whole.crossJoin(groups)  # one row each
 
 
-@query()
+@query(_RANKS)
 def gk_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").agg(F.percentile_approx("l_extendedprice", [0.25, 0.5, 0.75], round(1 / EPSILON)).alias("q"))
+    """The deterministic summary that takes the sketch's place where it can't be large enough."""
+    ps = [0.25, 0.5, 0.75]
+    got = table(spark, sf_dir, "lineitem").agg(F.percentile_approx("l_extendedprice", ps, round(1 / EPSILON) + 1).alias("q")).first().q
+    return _ranks(spark, sf_dir, dict(zip(ps, map(float, got), strict=True)))
 
 
 # ingest: a session's own tables
 
 
 def _fresh(spark: SparkSession, schema: str) -> str:
-    name = f"_bw_{uuid.uuid4().hex}"
+    name = f"_bw_{uuid.uuid4().hex}"  # dropped by its query
     spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet")
     return name
 
@@ -276,40 +337,83 @@ _HINTED, _FOLLOWING = "(10, 'a'), (20, 'a'), (30, 'b')", "(40, 'c'), (50, 'a')"
   count(*) AS n FROM (VALUES {_HINTED}, {_FOLLOWING}) v(latency_ms, user_id)""")
 def hint_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An insert with a hint starts sketches, the next one is absorbed; what they say, and how many rows they have seen."""
-    session, name = Session(spark, hash_seed=SEED), _fresh(spark, "latency_ms double, user_id string")
-    session.sql(f"INSERT APPROX_HINT((latency_ms, user_id), 0.01, 0.9) INTO {name}(latency_ms, user_id) VALUES {_HINTED}")
-    session.sql(f"INSERT INTO {name} VALUES {_FOLLOWING}")
-    seen = {(e.kind, e.expression): e.n for e in session.registry.entries.values()}
-    users = float(round(session.count_distinct(name, "user_id", 0.01, 0.9)))
-    row = (users, session.frequency(name, "user_id", "a", 0.01, 0.9), session.sql(f"SELECT approx_median(latency_ms, 0.01, 0.9) FROM {name}").first()[0], seen[(reg.KLL, "latency_ms")])
+    name = _fresh(spark, "latency_ms double, user_id string")
+    with Session(spark, hash_seed=SEED) as session:
+        session.sql(f"INSERT APPROX_HINT((latency_ms, user_id), 0.01, 0.9) INTO {name}(latency_ms, user_id) VALUES {_HINTED}")
+        session.sql(f"INSERT INTO {name} VALUES {_FOLLOWING}")
+        seen = {(e.kind, e.expression): e.n for e in session.registry.entries.values()}
+        users = float(round(session.count_distinct(name, "user_id", 0.01, 0.9)))
+        row = (users, session.frequency(name, "user_id", "a", 0.01, 0.9), session.sql(f"SELECT approx_median(latency_ms, 0.01, 0.9) FROM {name}").first()[0], seen[(reg.KLL, "latency_ms")])
     spark.sql(f"DROP TABLE {name}")
     return spark.createDataFrame([row], "users double, freq_a long, median double, n long")
 
 
-@query(f"WITH {_rho('user_id', 'events')} SELECT idx, rho FROM regs")
+@query("SELECT count(user_id) AS n, count(DISTINCT user_id) AS users, true AS users_within, true AS median_within, true AS cells_equal, true AS one_each FROM events")
 def incremental_equals_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registers of one half of the events, merged with those of the other."""
-    events = table(spark, sf_dir, "events")
-    halves = [hll.registers(events.filter(F.pmod("event_id", F.lit(2)) == r), F.col("user_id"), P, seed=SEED, portable=True) for r in (0, 1)]
-    return hll.merged(halves[0].unionByName(halves[1]))
+    """A session's sketches of one half of the events, which the other half's append takes along, against sketches of all."""
+    events, name = table(spark, sf_dir, "events"), _fresh(spark, "user_id bigint, value double")
+    halves = [events.filter(F.pmod("event_id", F.lit(2)) == r).select("user_id", "value") for r in (0, 1)]
+    with Session(spark, hash_seed=SEED) as session:
+        for half in halves:
+            session.append(half, name, st.Hint(("user_id", "value"), EPSILON, CONFIDENCE))
+        kept = {(e.kind, e.expression): e for e in session.registry.entries.values()}
+        users = session.value(f"SELECT approx_count_distinct(user_id, {EPSILON}, {CONFIDENCE}) FROM {name}")
+        median = session.value(f"SELECT approx_median(value, {EPSILON}, {CONFIDENCE}) FROM {name}")
+        counted = kept[reg.FREQUENCY, "user_id"]
+        whole = reg.build(spark, reg.FREQUENCY, f"FROM {name}", "user_id", counted.params, SEED, "")
+        one_each = len(session.registry.entries) == len(kept) == 6  # nothing was built again
+    exact = spark.table(name).agg(F.countDistinct("user_id").alias("u"), F.avg((F.col("value") < median).cast("double")).alias("b"), F.avg((F.col("value") <= median).cast("double")).alias("t")).first()
+    within = abs(users - exact.u) <= EPSILON * exact.u
+    row = (kept[reg.HLL, "user_id"].n, exact.u, within, exact.b - EPSILON <= 0.5 <= exact.t + EPSILON, counted.sketch == whole.sketch and counted.n == whole.n, one_each)
+    spark.sql(f"DROP TABLE {name}")
+    return spark.createDataFrame([row], "n long, users long, users_within boolean, median_within boolean, cells_equal boolean, one_each boolean")
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared}/boundwise-reopen-{uuid.uuid4().hex}"
 
 
 @query("SELECT event_type AS value, count(*) AS estimate FROM events GROUP BY 1")
 def reopen_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a session that opens the sketches of a closed one says, without building any."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp'}/boundwise-reopen-{uuid.uuid4().hex}"
+    folder = _folder(spark)
     views(spark, sf_dir, "events")
     ask = f"SELECT approx_top_k(event_type, 5, {EPSILON}, {CONFIDENCE}) FROM events"
     with Session(spark, folder, SEED) as first:
         first.sql(ask)
-    second = Session(spark, folder)
-    if not second.registry.entries:
-        raise ValueError("no sketch was kept")
-    return second.sql(ask).select("value", "estimate")
+    with Session(spark, folder) as second:
+        if not second.registry.entries:
+            raise ValueError("no sketch was kept")
+        return second.sql(ask).select("value", "estimate")
 
 
-@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT kind, true AS same, (SELECT count(user_id) FROM events) AS n FROM (VALUES ('freq'), ('hll'), ('kll')) v(kind)")
+def reopen_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each kind of sketch: whether a session that opens the stored one says the same, having built none."""
+    folder = _folder(spark)
+    views(spark, sf_dir, "events")
+    calls = {reg.HLL: "approx_count_distinct(user_id", reg.KLL: "approx_median(user_id", reg.FREQUENCY: "approx_freq(user_id, 1"}
+    asks = {kind: f"SELECT {call}, {EPSILON}, {CONFIDENCE}) FROM events" for kind, call in calls.items()}
+    with Session(spark, folder, SEED) as first:
+        said = {kind: first.value(ask) for kind, ask in asks.items()}
+    with Session(spark, folder) as second:
+        kept = {e.kind: e for e in second.registry.entries.values()}
+        rows = [(kind, second.value(ask) == said[kind] and len(second.registry.entries) == 3, kept[kind].n) for kind, ask in asks.items()]
+    return spark.createDataFrame(rows, "kind string, same boolean, n long")
+
+
+@query("""SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_within, true AS median_within
+  FROM events GROUP BY 1, 2""")
 def window_sketch_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windowed sketches by event type; the part of them that is exact."""
-    out = windowed(table(spark, sf_dir, "events"), "ts", "user_id", "1 day", "1 day", EPSILON, CONFIDENCE, by=["event_type"])
-    return out.select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+    """Windowed sketches by event type, read: whether what they say of the users is within the bounds, by exact counts and ranks."""
+    events = table(spark, sf_dir, "events")
+    got = estimates(windowed(events, "ts", "user_id", "1 day", "1 day", EPSILON, CONFIDENCE, by=["event_type"]), 0.5)
+    day = F.window(F.col("ts").cast("timestamp"), "1 day")["start"].alias("start")
+    rows = events.select(day, "event_type", "user_id").join(got.select("start", "event_type", "n", "distinct", "q50"), ["start", "event_type"])
+    user = F.col("user_id")
+    out = rows.groupBy("start", "event_type", "n", "distinct").agg(F.countDistinct(user).alias("users"), F.avg((user < F.col("q50")).cast("double")).alias("b"), F.avg((user <= F.col("q50")).cast("double")).alias("t"))
+    users_within = F.abs(F.col("distinct") - F.col("users")) <= F.greatest(F.lit(0.5), EPSILON * F.col("users"))
+    median_within = (F.col("b") - EPSILON <= 0.5) & (F.col("t") + EPSILON >= 0.5)
+    return out.select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n", "users", users_within.alias("users_within"), median_within.alias("median_within"))

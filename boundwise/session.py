@@ -25,6 +25,8 @@ from .sources.state import source_state, unsteady
 from .sources.store import Store
 
 SEED_VARIABLE = "BOUNDWISE_HASH_SEED"
+#: Results of up to so many rows are literals of a plan.
+_LITERALS = 1000
 
 
 class Session:
@@ -148,7 +150,10 @@ class Session:
             return None
         got = reg.answer(self.spark, entry, call)
         if call.name == TOP_K:
-            rows = self.spark.createDataFrame(got, "value string, estimate long, error long")
+            if not got or len(got) > _LITERALS:
+                rows = self.spark.createDataFrame(got, "value string, estimate long, error long")
+            else:  # literals: no job
+                rows = self.spark.sql(f"SELECT * FROM VALUES {', '.join(f'({literal(v)}, {n}L, {e}L)' for v, n, e in got)} AS _(value, estimate, error)")
             return rows.withColumn("value", F.col("value").cast(entry.value_type))
         return self.spark.sql(f"SELECT {got}{'L' if call.name == FREQ else 'D'} AS {call.name}")  # a literal: no job
 

@@ -95,7 +95,7 @@ class Registry:
 
 
 def build(spark: SparkSession, kind: str, source: str, expression: str, params: dict[str, int], seed: int, state: str) -> Entry:
-    """A sketch over a source as it is now: one aggregation, or two for frequencies; only the sketch comes to the driver."""
+    """A sketch over a source as it is now, in one pass over it; only the sketch comes to the driver."""
     rows = spark.sql(f"SELECT ({expression}) AS v {source}")
     value_type = rows.schema["v"].dataType.simpleString()
     entry = Entry(kind, normalised(source), normalised(expression), params, seed, state, 0, value_type)
@@ -115,10 +115,11 @@ def build(spark: SparkSession, kind: str, source: str, expression: str, params:
 def _with_frequencies(entry: Entry, rows: DataFrame) -> Entry:
     width, depth, capacity = (entry.params[x] for x in ("width", "depth", "capacity"))
     table = np.zeros((depth, width), np.int64)
-    for r in frequency.cells(rows, F.col("v"), width, depth, seed=entry.seed).toLocalIterator():  # at most width * depth
-        table[r.row, r.bucket] = r.c
-    found = frequency.summary(rows, F.col("v"), capacity)
-    best = found.orderBy(F.col("value").isNotNull(), F.desc("counter"), "value").limit(capacity + 2).collect()
+    both = frequency.sketched(rows, F.col("v"), width, depth, capacity, entry.seed).persist()
+    cells = both.filter("row is not null").toArrow()  # at most width * depth
+    table[cells["row"].to_numpy(), cells["bucket"].to_numpy()] = cells["counter"].to_numpy()
+    best = both.filter("row is null").orderBy(F.col("value").isNotNull(), F.desc("counter"), "value").limit(capacity + 2).collect()
+    both.unpersist()
     own = frequency.Summary(capacity)
     own.lost = sum(r.lost for r in best if r.value is None)
     own.counters = {r.value: r.counter for r in best if r.value is not None}

@@ -186,3 +186,12 @@ def test_values_are_trusted_for_a_while(spark, table):
     assert trusting.value(f"SELECT approx_top_k(v, 1, 0.05, 0.9) FROM {t}") == [("1", 1, 0)]
     with pytest.raises(QueryError):
         careful.value("SELECT 1")
+
+
+def test_top_k_in_groups_and_beside_other_items(spark, table):
+    t = table("g long, v string", [(i % 2, "hot" if i % 3 else f"x{i}") for i in range(60)])
+    with Session(spark, hash_seed=5) as s:
+        got = s.sql(f"SELECT g, approx_top_k(v, 1, 0.05, 0.9) AS best, count(*) AS n FROM {t} GROUP BY g ORDER BY g").collect()
+        assert [(r.g, [tuple(x) for x in r.best], r.n) for r in got] == [(0, [("hot", 20)], 30), (1, [("hot", 20)], 30)]
+        with pytest.raises(QueryError, match="no summary"):
+            s.sql(f"SELECT g, approx_top_k(v, 1, 0.0000001, 0.9) FROM {t} GROUP BY g")

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from boundwise import bounds
 from boundwise.operators import frequency, hll, quantiles
@@ -121,3 +122,41 @@ def test_summaries_merge():
 
 def test_relative_error_of_precision():
     assert math.isclose(hll.relative_error(10), 0.0325)
+
+
+def test_one_pass_gives_cells_and_summary(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(f"v{int(x)}" if x < 300 else None,) for x in rng.zipf(1.5, 3000)], "v string").repartition(5)
+    both = frequency.sketched(rows, F.col("v"), 40, 3, 12, 7)
+    cells = sorted((r.row, r.bucket, r.counter) for r in both.filter("row is not null").collect())
+    assert cells == sorted(map(tuple, frequency.cells(rows, F.col("v"), 40, 3, seed=7).select("row", "bucket", "c").collect()))
+    true = {r.v: r.n for r in rows.filter("v is not null").groupBy("v").agg(F.count("*").alias("n")).collect()}
+    best = frequency.top_k(both.filter("row is null").drop("row", "bucket"), 5).collect()
+    assert len(best) == 5 and all(r.estimate - r.error <= true[r.value] <= r.estimate for r in best)
+
+
+def test_summaries_keep_as_many_values_as_they_can():
+    s = frequency.Summary(5)
+    s.add({f"v{i:02}": 1 for i in range(30)})
+    assert len(s.top(5)) == 5 and all(n - e <= 1 <= n for _, n, e in s.top(5))
+
+
+def test_join_sizes_are_never_too_small(spark):
+    rng = np.random.default_rng(4)
+    a, b = (spark.createDataFrame([(int(x),) for x in rng.integers(0, 200, n)], "v long") for n in (900, 500))
+    exact = a.join(b, "v").count()
+    size = lambda x, y, w: frequency.join_size(frequency.cells(x, F.col("v"), w, 4, seed=3), frequency.cells(y, F.col("v"), w, 4, seed=3)).first().estimate
+    assert size(a, b, 50) >= size(a, b, 1 << 20) >= exact and size(a, b, 1 << 20) == exact
+    assert size(a, b.filter("v < 0"), 50) == 0 and size(a.filter("v < 0"), b, 50) == 0
+
+
+def test_exact_ranks_of_odd_values(spark):
+    rows = [(float(x),) for x in [3, 3, 3, 1, 2, 9, 9]] + [(None,), (float("nan"),), (float("inf"),)]
+    got = quantiles.exact_rank(spark.createDataFrame(rows, "v double"), F.col("v"), {"a": 0.0, "b": 0.5, "c": 1.0}).first()
+    assert tuple(got) == (1.0, 3.0, 9.0)
+    empty = quantiles.exact_rank(spark.createDataFrame([], "v double"), F.col("v"), {"a": 0.5}).collect()
+    assert [tuple(r) for r in empty] == [(0.0,)]
+    rng = np.random.default_rng(5)
+    values = sorted(rng.integers(0, 3000, 5000).astype(float).tolist())
+    got = quantiles.exact_rank(spark.createDataFrame([(x,) for x in values], "v double"), F.col("v"), {"a": 0.1, "b": 0.73}).first()
+    assert tuple(got) == tuple(values[int(np.ceil(p * 4999))] for p in (0.1, 0.73))
