@@ -6,6 +6,9 @@ the sources, then each source's shards (a bounded number of documents each) get
 its documents end to end in a seeded order, takes as many whole passes as its seats fill, and the rest as a seeded
 cyclic run of blocks.
 
+A document's shard and its place there come from its doc_id and size, so that rows without doc_id, or with one, spread. Sources
+are apportioned in one task, and so are the shards of a source: one row each, of up to ``SHARD_DOCS`` documents.
+
 Defined results: a null text has no words and is never taken; a null source is a source, the last one; a null doc_id is
 ordered as an empty one; equal rows are separate documents; an empty table gives an empty result; other columns stay.
 """
@@ -86,7 +89,7 @@ def sainte_lague(parties: DataFrame, group: list[str], key: str, votes: str, sea
 def plan(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
     """docs (source, doc_id, size and any others): adds source_size, target, whole (passes), lo and hi (places of the shard's
     run of blocks, from the document's first word), turn (how far that run's next lap is), taken."""
-    docs = docs.withColumn("_place", seeded(F.lit(seed), F.col("doc_id")))
+    docs = docs.withColumn("_place", seeded(F.lit(seed), F.col("doc_id"), F.col("size")))
     light = docs.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n_docs"))
     src = targets(light).withColumn("blocks", F.floor((SHARE_HALVES * F.col("total") + block) / (2 * block)).cast("long"))
     src = sainte_lague(src.withColumn("_one", F.lit(1)), ["_one"], "nth", "target", "blocks").withColumnRenamed("got", "quota")
@@ -140,7 +143,7 @@ def mixed(documents: DataFrame, **options) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('20|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
+         ('0x' || substr(md5('20|' || coalesce(doc_id::VARCHAR, '') || '|' || size::VARCHAR), 1, 15))::BIGINT AS place
   FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS words, count(*) AS n_docs FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth, sum(words) OVER ()::BIGINT AS total FROM s0),

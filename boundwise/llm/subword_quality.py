@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
 A document's features are its words, the character n-grams inside them, hashed into tables of learned vectors, and for each
-word how many words back it was last (1 to ``LAGS``, or none). The document is the average of its features' vectors, each kind
+word how many words back it was last (1 to ``LAGS``, or none): no subword, but stammering texts of good words are only told by it
+(README: with and without). The document is the average of its features' vectors, each kind
 averaged first, so that many n-grams don't drown few words; a softmax over two classes reads it. Training is stochastic gradient
 descent in numpy on a bounded sample (``learning``). As the softmax of two classes only needs the difference of the
 classes' scores, which is linear in the average, a fitted model is one number for each bucket.

@@ -210,6 +210,15 @@ def test_mix_reaches_its_targets(spark):
     assert all(t <= 2 * s and abs(n - t) <= 0.01 * t + 200 for (s, t), n in by.items())
 
 
+def test_rows_without_doc_id_spread_over_shards(spark):
+    rows = [(None if i % 3 else i, " ".join(["w"] * (i % 40 + 1)), "en", "a") for i in range(600)]
+    docs = frame(spark, rows).select("doc_id", "source", mixing.n_words("text").alias("size"))
+    got = mixing.plan(docs, shard_docs=50).groupBy("lo").count().count()
+    per_source = mixing.quotas(frame(spark, rows), shard_docs=50).collect()
+    taken, target = sum(r.taken for r in per_source), per_source[0].target
+    assert got > 12 and abs(taken - target) <= 64 * 12 + 0.02 * target
+
+
 def test_seats_go_to_the_highest_quotients(spark):
     rng = np.random.default_rng(6)
     for seats in (1, 7, 100):
