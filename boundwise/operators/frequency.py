@@ -131,12 +131,12 @@ _SKETCHES = ["row", "bucket", "value", "counter", "off", "lost"]
 
 
 def sketched(df: DataFrame, value: Column, width: int, depth: int, capacity: int, seed: int = 0) -> DataFrame:
-    """Cells and summary of a column's texts from one pass: rows with row and bucket are the non-zero cells, their count in counter,
-    the others are those of ``summary``."""
+    """Cells and summary of a column's texts from one pass: rows with nth (the cell's row) and bucket are the non-zero cells, their
+    count in counter, the others are those of ``summary``. nth is an aggregate, so that no filter on it gets below the pass."""
     rows = df.select(value.cast("string").alias("v")).filter("v is not null")
     buckets = [F.pmod(hashed(F.col("v"), seed + r, False), F.lit(width)).cast("int").alias(f"b{r}") for r in range(depth)]
     parts = arrow(rows.select("v", *buckets), _sketches(width, depth, capacity), "row int, bucket int, value string, counter long, off long, lost long")
-    return parts.groupBy("row", "bucket", "value").agg(*(F.sum(c).alias(c) for c in ("counter", "off", "lost")))
+    return parts.groupBy("row", "bucket", "value").agg(F.max("row").alias("nth"), *(F.sum(c).alias(c) for c in ("counter", "off", "lost"))).drop("row")
 
 
 def top_k(summary_: DataFrame, k: int) -> DataFrame:

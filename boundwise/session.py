@@ -38,6 +38,7 @@ class Session:
         self.store = Store(spark, root) if root and root != ":memory:" else None
         self._open, self._changes, self._batches = True, 0, {}
         self.recheck, self._values = recheck, {}
+        self._steady: dict[tuple[str | None, str], bool] = {}
         self._builders = ThreadPoolExecutor(4)  # jobs of several sketches side by side
         ship(spark)
         kept = self.store.seed() if self.store else None
@@ -121,7 +122,9 @@ class Session:
         if needed is None:
             return None
         kind, state = reg.kind_of(call.name), self.state(source)
-        if state is None or unsteady(self.spark.sql(f"SELECT ({call.expression}) AS v {source}")):
+        if (state, call.expression) not in self._steady:
+            self._steady[state, call.expression] = state is not None and not unsteady(self.spark.sql(f"SELECT ({call.expression}) AS v {source}"))
+        if not self._steady[state, call.expression]:
             return reg.build(self.spark, kind, source, call.expression, needed, self.seed, "") if call.name == TOP_K else None
         found = self.registry.find(kind, normalised(source), normalised(call.expression), self.seed, state, needed)
         if found is None:
@@ -190,7 +193,6 @@ class Session:
         """Appends rows to a table and takes its sketches along: those of the table alone, with or without a condition, get
         the rows' own sketches merged in, all or none. If the table was empty, sketches of the hinted columns, or of the
         named ones at the default bounds, are started. Sketches that can't follow are out of date by the table's state."""
-        was_empty = self.spark.table(table).isEmpty()
         before: dict[str, str | None] = {}
         follow = []
         for e in list(self.registry.entries.values()):
@@ -199,6 +201,7 @@ class Session:
                     before[e.source] = self.state(e.source)
                 if e.state == before[e.source]:
                     follow.append(e)
+        was_empty = not any(e.n for e in follow) and self.spark.table(table).isEmpty()
         view = f"_boundwise_{uuid.uuid4().hex}"
         rows.select(*self.spark.table(table).columns).write.insertInto(table)
         self.spark.catalog.refreshTable(table)  # rows can be of another session, as a stream's batches are
@@ -207,11 +210,12 @@ class Session:
             rows.createOrReplaceGlobalTempView(view)
             after = {source: self.state(source) for source in before}
 
-            def followed(e: reg.Entry) -> reg.Entry:
-                delta = reg.build(self.spark, e.kind, _with_table(e.source, f"global_temp.{view}"), e.expression, e.params, e.seed, "")
-                return reg.merge(self.spark, e, delta, after[e.source])
+            def followed(some: list[reg.Entry]) -> list[reg.Entry]:
+                source = _with_table(some[0].source, f"global_temp.{view}")
+                deltas = reg.build_all(self.spark, source, [(e.kind, e.expression, e.params) for e in some], some[0].seed, "")
+                return [reg.merge(self.spark, e, d, after[e.source]) for e, d in zip(some, deltas, strict=True)]
 
-            self._keep(list(self._builders.map(followed, follow)))
+            self._keep([e for some in self._builders.map(followed, _passes(follow)) for e in some])
         finally:
             self.spark.catalog.dropGlobalTempView(view)
         if was_empty:
@@ -228,8 +232,10 @@ class Session:
                 needed = reg.required_for(kind, hint.epsilon, hint.confidence)
                 if column in held and needed and not self.registry.find(kind, normalised(source), normalised(column), self.seed, state, needed):
                     started.append((kind, column, needed))
-        built = self._builders.map(lambda x: reg.build(self.spark, x[0], source, x[1], x[2], self.seed, state), started)
-        self._keep([e for e in built if e.n])
+        one = [x for x in started if x[0] != reg.FREQUENCY]
+        passes = [one] * bool(one) + [[x] for x in started if x[0] == reg.FREQUENCY]
+        built = self._builders.map(lambda some: reg.build_all(self.spark, source, some, self.seed, state), passes)
+        self._keep([e for some in built for e in some if e.n])
 
     def append_batch(self, stream: str, batch: int, rows: DataFrame, table: str, hint: st.Hint | None = None) -> bool:
         """append, once for each batch of a stream in this session; whether it did."""
@@ -248,6 +254,14 @@ class Session:
         return self.sql(f"SELECT {FREQ}({column}, {literal(str(target))}, {epsilon}, {confidence}) FROM {table}").first()[0]
 
 
+def _passes(entries: list[reg.Entry]) -> list[list[reg.Entry]]:
+    """Entries that are built in one pass: those of one source and seed that aren't of frequencies."""
+    out: dict[tuple, list[reg.Entry]] = {}
+    for e in entries:
+        out.setdefault((e.source, e.seed, e.key if e.kind == reg.FREQUENCY else None), []).append(e)
+    return list(out.values())
+
+
 def _reads_only(source: str, table: str) -> bool:
     """FROM table, or FROM table WHERE a condition without a subquery."""
     ts, name = tokens(source), normalised(table)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import bounds
@@ -96,34 +97,46 @@ class Registry:
 
 def build(spark: SparkSession, kind: str, source: str, expression: str, params: dict[str, int], seed: int, state: str) -> Entry:
     """A sketch over a source as it is now, in one pass over it; only the sketch comes to the driver."""
-    rows = spark.sql(f"SELECT ({expression}) AS v {source}")
-    value_type = rows.schema["v"].dataType.simpleString()
-    entry = Entry(kind, normalised(source), normalised(expression), params, seed, state, 0, value_type)
-    if kind == HLL:
-        got = rows.agg(hll.native(F.col("v"), params["p"], seed).alias("s"), F.count("v").alias("n"))
-        got = got.select("s", "n", F.hll_sketch_estimate("s").alias("estimate")).first()
-        return replace(entry, sketch=bytes(got.s or b""), n=got.n, answers={(DISTINCT, None, None): float(got.estimate or 0)})
-    if kind == KLL:
-        rows = rows.select(quantiles.finite(F.col("v")).alias("v")).filter("v is not null")
-        got = rows.agg(F.kll_sketch_agg_double("v", F.lit(params["k"])).alias("s"), F.count("v").alias("n"))
-        said = [F.expr(f"if(n = 0, 0D, kll_sketch_get_quantile_double(s, {p}D))").alias(name) for name, p in QUARTILES.items()]
-        got = got.select("s", "n", *said).first()
-        return replace(entry, sketch=bytes(got.s or b"") if got.n else b"", n=got.n, answers={(name, None, None): got[name] for name in QUARTILES})
-    return _with_frequencies(entry, rows.select(F.col("v").cast("string").alias("v")))
+    return build_all(spark, source, [(kind, expression, params)], seed, state)[0]
+
+
+def build_all(spark: SparkSession, source: str, wanted: list[tuple[str, str, dict[str, int]]], seed: int, state: str) -> list[Entry]:
+    """Sketches (kind, expression, params) over one source: one pass for all HLL and KLL ones, one for each of frequencies."""
+    rows = spark.sql(f"SELECT {', '.join(f'({e}) AS v{i}' for i, (_, e, _) in enumerate(wanted))} {source}")
+    out = [Entry(kind, normalised(source), normalised(e), params, seed, state, 0, rows.schema[f"v{i}"].dataType.simpleString()) for i, (kind, e, params) in enumerate(wanted)]
+    aggregates, said = [], []
+    for i, entry in enumerate(out):
+        v, s, n = F.col(f"v{i}"), f"s{i}", f"n{i}"
+        if entry.kind == HLL:
+            aggregates += [hll.native(v, entry.params["p"], seed).alias(s), F.count(v).alias(n)]
+            said.append(F.coalesce(F.hll_sketch_estimate(s), F.lit(0)).cast("double").alias(f"a{i}_{DISTINCT}"))
+        if entry.kind == KLL:
+            finite = quantiles.finite(v)
+            aggregates += [F.kll_sketch_agg_double(finite, F.lit(entry.params["k"])).alias(s), F.count(finite).alias(n)]
+            said += [F.expr(f"if({n} = 0, 0D, kll_sketch_get_quantile_double({s}, {p}D))").alias(f"a{i}_{name}") for name, p in QUARTILES.items()]
+    got = rows.agg(*aggregates).select("*", *said).first().asDict() if aggregates else {}
+    for i, entry in enumerate(out):
+        if entry.kind == FREQUENCY:
+            out[i] = _with_frequencies(entry, rows.select(F.col(f"v{i}").cast("string").alias("v")))
+        else:
+            answers = {(name.split("_", 1)[1], None, None): value for name, value in got.items() if name.startswith(f"a{i}_")}
+            out[i] = replace(entry, sketch=bytes(got[f"s{i}"] or b"") if got[f"n{i}"] else b"", n=got[f"n{i}"], answers=answers)
+    return out
 
 
 def _with_frequencies(entry: Entry, rows: DataFrame) -> Entry:
     width, depth, capacity = (entry.params[x] for x in ("width", "depth", "capacity"))
     table = np.zeros((depth, width), np.int64)
-    both = frequency.sketched(rows, F.col("v"), width, depth, capacity, entry.seed).persist()
-    cells = both.filter("row is not null").toArrow()  # at most width * depth
-    table[cells["row"].to_numpy(), cells["bucket"].to_numpy()] = cells["counter"].to_numpy()
-    best = both.filter("row is null").orderBy(F.col("value").isNotNull(), F.desc("counter"), "value").limit(capacity + 2).collect()
-    both.unpersist()
+    both = frequency.sketched(rows, F.col("v"), width, depth, capacity, entry.seed)
+    best = both.filter("nth is null").orderBy(F.col("value").isNotNull(), F.desc("counter"), "value").limit(capacity + 2)
+    got = both.filter("nth is not null").unionByName(best).toArrow()  # at most width * depth cells and some counters
+    nth = got["nth"].is_valid()
+    cells, best = got.filter(nth), got.filter(pc.invert(nth)).to_pylist()
+    table[cells["nth"].to_numpy(), cells["bucket"].to_numpy()] = cells["counter"].to_numpy()
     own = frequency.Summary(capacity)
-    own.lost = sum(r.lost for r in best if r.value is None)
-    own.counters = {r.value: r.counter for r in best if r.value is not None}
-    own.errors = {r.value: r.off + own.lost for r in best if r.value is not None}
+    own.lost = sum(r["lost"] for r in best if r["value"] is None)
+    own.counters = {r["value"]: r["counter"] for r in best if r["value"] is not None}
+    own.errors = {r["value"]: r["off"] + own.lost for r in best if r["value"] is not None}
     own.add({})
     return _holding(replace(entry, sketch=table.tobytes(), n=int(table[0].sum())), own)
 
@@ -152,9 +165,13 @@ def merge(spark: SparkSession, a: Entry, b: Entry, state: str) -> Entry:
         own = _summary(a)
         own.merge(_summary(b))
         return _holding(replace(out, sketch=(np.frombuffer(a.sketch, np.int64) + np.frombuffer(b.sketch, np.int64)).tobytes()), own)
-    both = spark.createDataFrame([(bytearray(a.sketch), bytearray(b.sketch))], "a binary, b binary")
-    merged = "hll_union(a, b)" if a.kind == HLL else "kll_sketch_merge_double(a, b)"
-    return replace(out, sketch=bytes(both.select(F.expr(merged).alias("s")).first().s))
+    x, y = F.lit(bytearray(a.sketch)), F.lit(bytearray(b.sketch))
+    return replace(out, sketch=bytes(_said(spark, F.hll_union(x, y) if a.kind == HLL else F.kll_sketch_merge_double(x, y))))
+
+
+def _said(spark: SparkSession, value: Column):
+    """An expression of literals, without a job."""
+    return spark.sql("SELECT 1").select(value.alias("x")).first().x
 
 
 def answer(spark: SparkSession, entry: Entry, call: ApproxCall):
@@ -170,12 +187,10 @@ def _answer(spark: SparkSession, entry: Entry, call: ApproxCall):
         return _summary(entry).top(call.k)
     if call.name == FREQ:
         width, depth = entry.params["width"], entry.params["depth"]
-        target = spark.createDataFrame([(call.target,)], "t string")
-        buckets = target.select(*[F.pmod(fast(F.col("t"), entry.seed + r), F.lit(width)).alias(f"b{r}") for r in range(depth)]).first()
+        buckets = _said(spark, F.array(*[F.pmod(fast(F.lit(call.target), entry.seed + r), F.lit(width)) for r in range(depth)]))
         table = np.frombuffer(entry.sketch, np.int64).reshape(depth, width)
         return int(min(table[r, buckets[r]] for r in range(depth)))
     if not entry.n:
         return 0.0
-    one = spark.createDataFrame([(bytearray(entry.sketch),)], "s binary")
-    value = "hll_sketch_estimate(s)" if call.name == DISTINCT else f"kll_sketch_get_quantile_double(s, {QUARTILES[call.name]}D)"
-    return float(one.select(F.expr(value).alias("x")).first().x)
+    s = F.lit(bytearray(entry.sketch))
+    return float(_said(spark, F.hll_sketch_estimate(s) if call.name == DISTINCT else F.kll_sketch_get_quantile_double(s, F.lit(QUARTILES[call.name]))))

@@ -128,10 +128,10 @@ def test_one_pass_gives_cells_and_summary(spark):
     rng = np.random.default_rng(3)
     rows = spark.createDataFrame([(f"v{int(x)}" if x < 300 else None,) for x in rng.zipf(1.5, 3000)], "v string").repartition(5)
     both = frequency.sketched(rows, F.col("v"), 40, 3, 12, 7)
-    cells = sorted((r.row, r.bucket, r.counter) for r in both.filter("row is not null").collect())
+    cells = sorted((r.nth, r.bucket, r.counter) for r in both.filter("nth is not null").collect())
     assert cells == sorted(map(tuple, frequency.cells(rows, F.col("v"), 40, 3, seed=7).select("row", "bucket", "c").collect()))
     true = {r.v: r.n for r in rows.filter("v is not null").groupBy("v").agg(F.count("*").alias("n")).collect()}
-    best = frequency.top_k(both.filter("row is null").drop("row", "bucket"), 5).collect()
+    best = frequency.top_k(both.filter("nth is null").drop("nth", "bucket"), 5).collect()
     assert len(best) == 5 and all(r.estimate - r.error <= true[r.value] <= r.estimate for r in best)
 
 
