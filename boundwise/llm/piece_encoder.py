@@ -17,6 +17,8 @@ _PLAIN = 0x3000
 _AFTER = ("s", "t", "re", "ve", "m", "ll", "d")
 #: So many pre-tokens are remembered at most, by process.
 KEPT = 2_000_000
+#: New pre-tokens that go to the library in one text.
+TOGETHER = 500
 
 
 class PieceEncoder:
@@ -29,6 +31,9 @@ class PieceEncoder:
         self.added = [a.content.encode() for a in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.kinds = self._kinds()
+        blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]  # as the vocabulary writes it
+        self.opens = np.zeros(self.size, bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(blank)]] = True
         self._forget()
 
     def _kinds(self) -> np.ndarray:
@@ -80,16 +85,37 @@ class PieceEncoder:
     def _learn(self, t: Texts, pieces: tuple[np.ndarray, ...], starts: np.ndarray, ends: np.ndarray) -> None:
         if len(self.keys) + len(starts) > KEPT:
             self._forget()
-        texts = [t.data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.array([len(x) for x in ids], np.int64)
+        raw = t.data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        new, count = self._encoded(texts)
         first = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], np.uint32)])
+        self.ids = np.concatenate([self.ids, new])
         keys, low, high = (np.concatenate([a, b]) for a, b in zip((self.keys, self.low, self.high), pieces, strict=True))
         order = np.argsort(keys, kind="stable")
         self.keys, self.low, self.high = keys[order], low[order], high[order]
         self.first, self.count = np.concatenate([self.first, first])[order], np.concatenate([self.count, count])[order]
 
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, end to end, and how many each has. Those of a blank and letters or digits go to the library as texts
+        of many, which it splits at the blanks: a token that starts with one starts the next."""
+        plain = np.array([len(p) > 1 and p[0] == " " and self.kinds[min(ord(p[1]), _PLAIN)] in (_L, _N) for p in pieces], bool)
+        some, rest = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+        joined = ["".join([pieces[i] for i in some[k : k + TOGETHER]]) for k in range(0, len(some), TOGETHER)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.uint32)
+        begins = np.flatnonzero(self.opens[ids])
+        if len(begins) != len(some):
+            ids, begins, some, rest = ids[:0], begins[:0], [], list(range(len(pieces)))
+        each = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)]
+        order = np.array(some + rest, np.int64)
+        counts = np.concatenate([np.diff(np.append(begins, len(ids))), np.array([len(x) for x in each], np.int64)]).astype(np.int64)
+        ids = np.concatenate([ids, np.array([i for x in each for i in x], np.uint32)])
+        count = np.empty(len(pieces), np.int64)
+        count[order] = counts
+        first = np.empty(len(pieces), np.int64)
+        first[order] = np.cumsum(counts) - counts
+        after = np.cumsum(count)
+        return ids[np.arange(after[-1] if len(after) else 0) + np.repeat(first - (after - count), count)], count
+
     def _find(self, keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         known = (self.low[at] == low) & (self.high[at] == high) if len(self.keys) else np.zeros(len(keys), bool)
