@@ -41,13 +41,20 @@ def query(oracle: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_oracles)
 
 
+def _all() -> None:
+    """Those of the other module register themselves."""
+    from . import behaviour  # noqa: F401
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -324,7 +331,7 @@ def gk_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ingest: a session's own tables
 
 
-def _fresh(spark: SparkSession, schema: str) -> str:
+def fresh(spark: SparkSession, schema: str) -> str:
     name = f"_bw_{uuid.uuid4().hex}"  # dropped by its query
     spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet")
     return name
@@ -337,7 +344,7 @@ _HINTED, _FOLLOWING = "(10, 'a'), (20, 'a'), (30, 'b')", "(40, 'c'), (50, 'a')"
   count(*) AS n FROM (VALUES {_HINTED}, {_FOLLOWING}) v(latency_ms, user_id)""")
 def hint_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An insert with a hint starts sketches, the next one is absorbed; what they say, and how many rows they have seen."""
-    name = _fresh(spark, "latency_ms double, user_id string")
+    name = fresh(spark, "latency_ms double, user_id string")
     with Session(spark, hash_seed=SEED) as session:
         session.sql(f"INSERT APPROX_HINT((latency_ms, user_id), 0.01, 0.9) INTO {name}(latency_ms, user_id) VALUES {_HINTED}")
         session.sql(f"INSERT INTO {name} VALUES {_FOLLOWING}")
@@ -351,7 +358,7 @@ def hint_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(user_id) AS n, count(DISTINCT user_id) AS users, true AS users_within, true AS median_within, true AS cells_equal, true AS one_each FROM events")
 def incremental_equals_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session's sketches of one half of the events, which the other half's append takes along, against sketches of all."""
-    events, name = table(spark, sf_dir, "events"), _fresh(spark, "user_id bigint, value double")
+    events, name = table(spark, sf_dir, "events"), fresh(spark, "user_id bigint, value double")
     halves = [events.filter(F.pmod("event_id", F.lit(2)) == r).select("user_id", "value") for r in (0, 1)]
     with Session(spark, hash_seed=SEED) as session:
         for half in halves:
@@ -369,7 +376,7 @@ def incremental_equals_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], "n long, users long, users_within boolean, median_within boolean, cells_equal boolean, one_each boolean")
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared}/boundwise-reopen-{uuid.uuid4().hex}"
@@ -378,12 +385,12 @@ def _folder(spark: SparkSession) -> str:
 @query("SELECT event_type AS value, count(*) AS estimate FROM events GROUP BY 1")
 def reopen_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a session that opens the sketches of a closed one says, without building any."""
-    folder = _folder(spark)
+    at = folder(spark)
     views(spark, sf_dir, "events")
     ask = f"SELECT approx_top_k(event_type, 5, {EPSILON}, {CONFIDENCE}) FROM events"
-    with Session(spark, folder, SEED) as first:
+    with Session(spark, at, SEED) as first:
         first.sql(ask)
-    with Session(spark, folder) as second:
+    with Session(spark, at) as second:
         if not second.registry.entries:
             raise ValueError("no sketch was kept")
         return second.sql(ask).select("value", "estimate")
@@ -392,13 +399,13 @@ def reopen_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT kind, true AS same, (SELECT count(user_id) FROM events) AS n FROM (VALUES ('freq'), ('hll'), ('kll')) v(kind)")
 def reopen_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each kind of sketch: whether a session that opens the stored one says the same, having built none."""
-    folder = _folder(spark)
+    at = folder(spark)
     views(spark, sf_dir, "events")
     calls = {reg.HLL: "approx_count_distinct(user_id", reg.KLL: "approx_median(user_id", reg.FREQUENCY: "approx_freq(user_id, 1"}
     asks = {kind: f"SELECT {call}, {EPSILON}, {CONFIDENCE}) FROM events" for kind, call in calls.items()}
-    with Session(spark, folder, SEED) as first:
+    with Session(spark, at, SEED) as first:
         said = {kind: first.value(ask) for kind, ask in asks.items()}
-    with Session(spark, folder) as second:
+    with Session(spark, at) as second:
         kept = {e.kind: e for e in second.registry.entries.values()}
         rows = [(kind, second.value(ask) == said[kind] and len(second.registry.entries) == 3, kept[kind].n) for kind, ask in asks.items()]
     return spark.createDataFrame(rows, "kind string, same boolean, n long")

@@ -158,7 +158,8 @@ class Session:
             else:  # literals: no job
                 rows = self.spark.sql(f"SELECT * FROM VALUES {', '.join(f'({literal(v)}, {n}L, {e}L)' for v, n, e in got)} AS _(value, estimate, error)")
             return rows.withColumn("value", F.col("value").cast(entry.value_type))
-        return self.spark.sql(f"SELECT {got}{'L' if call.name == FREQ else 'D'} AS {call.name}")  # a literal: no job
+        name = (call.alias or call.name).replace("`", "``")
+        return self.spark.sql(f"SELECT {got}{'L' if call.name == FREQ else 'D'} AS `{name}`")  # a literal: no job
 
     def value(self, text: str) -> object:
         """What a kept sketch says to SELECT call FROM source [WHERE condition]: a number, or the rows of a top-k. While the answer

@@ -195,3 +195,10 @@ def test_top_k_in_groups_and_beside_other_items(spark, table):
         assert [(r.g, [tuple(x) for x in r.best], r.n) for r in got] == [(0, [("hot", 20)], 30), (1, [("hot", 20)], 30)]
         with pytest.raises(QueryError, match="no summary"):
             s.sql(f"SELECT g, approx_top_k(v, 1, 0.0000001, 0.9) FROM {t} GROUP BY g")
+
+
+def test_answers_have_the_name_that_was_asked_for(spark, table):
+    s, t = Session(spark, hash_seed=5), table("v long", [(1,), (2,)])
+    for name in ("AS n", "n", "as `n`"):
+        assert s.sql(f"SELECT approx_count_distinct(v, 0.05, 0.9) {name} FROM {t}").columns == ["n"]
+    assert s.sql(f"SELECT approx_median(v, 0.05, 0.9) FROM {t}").columns == ["approx_median"] and len(s.registry.entries) == 2
