@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -138,12 +139,18 @@ def write(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: i
     n = partitions(spark)
     # bounds of equally many documents by doc_id; any bounds give the same sequence
     bounds = tokens.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
-    bucket = F.lit(0)
     if bounds:
-        bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id")))
-    tokens = tokens.withColumn("bucket", F.greatest(bucket, F.lit(0)).cast("int"))
+        # how many bounds are below, by steps of some bounds first: few comparisons a row, however many buckets
+        step = max(1, int(len(bounds) ** 0.5))
+        edges = spark.createDataFrame([(bounds, bounds[step - 1 :: step])], "bounds array<long>, steps array<long>")  # one row
+        below = lambda values: F.size(F.filter(values, lambda b: b < F.col("doc_id")))
+        tokens = tokens.crossJoin(F.broadcast(edges)).withColumn("first", F.greatest(below(F.col("steps")), F.lit(0)) * step)
+        bucket = F.col("first") + F.greatest(below(F.slice("bounds", F.col("first") + 1, F.lit(step))), F.lit(0))
+        tokens = tokens.withColumn("bucket", bucket.cast("int")).drop("bounds", "steps", "first")
+    else:
+        tokens = tokens.withColumn("bucket", F.lit(0))
     held = {r.bucket: r.n for r in tokens.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
-    bases = [sum(held.get(j, 0) for j in range(i)) for i in range(len(bounds) + 1)]
+    bases = list(accumulate((held.get(j, 0) for j in range(len(bounds))), initial=0))
     ordered = tokens.repartitionById(len(bases), F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n", "ids")
     out = arrow(ordered, _written(frequencies, bases, block, segment), "bucket int, nth int, place long, segment binary")
     out.write.option("compression", "uncompressed").parquet(f"{path}/segments")

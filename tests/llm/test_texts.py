@@ -326,3 +326,15 @@ def test_blocks_are_read_from_their_checkpoints():
     assert rans_store.unpack(segment, f, range(2, 4))[3].tolist() == every[64:128].tolist() == np.concatenate(ids)[64:128].tolist()
     with pytest.raises(ValueError):
         rans_store.unpack(segment, f + b"\0\0\0\0")
+
+
+@pytest.mark.parametrize("buckets", ["1", "2", "3", "8", "37"])
+def test_any_number_of_buckets_gives_the_same_sequence(spark, buckets):
+    rows = [(None if i % 50 == 7 else (i * 37) % 211 - 50, f"text {i % 13}", "en", "a") for i in range(211)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", buckets)
+    try:
+        got = [r.doc_id for r in sorted(rans_store.digests(frame(spark, rows)).collect(), key=lambda r: r.start)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
