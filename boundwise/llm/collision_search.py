@@ -32,7 +32,7 @@ from .common import save, ship
 from .vectors import matrix, vectors
 
 NEIGHBOURS = 20
-PROJECTIONS, WIDTH, MISS = 96, 2.0, 0.13
+PROJECTIONS, WIDTH, MISS = 128, 2.0, 0.1
 #: Radii of the rounds: the first, and the growth.
 RADIUS, GROWTH = 0.05, 1.1
 #: Norms of a range differ by this factor at most; the last of so many ranges holds all shorter vectors.
