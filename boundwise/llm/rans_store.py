@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -42,6 +43,8 @@ STEP = 1 << 20
 MAGIC, VERSION = b"BWTI", 1
 _HEAD = struct.Struct("<4sIQQQIII")
 _NO_ID = -(2**63)
+#: Quantiles of the numbers of ids under one doc_id.
+_GRID = 256
 
 
 def _tokenised(path: str, end_id: int):
@@ -126,6 +129,27 @@ def _written(frequencies: bytes, bases: list[int], block: int, segment: int):
     return written
 
 
+def _bounds(tokens: DataFrame, n: int) -> list[tuple[bool, int, int]]:
+    """Where buckets of about equally many documents end, as (has a doc_id, doc_id, number of ids), in order: at quantiles of the
+    doc_ids, and where one doc_id, or none, has several buckets' worth of rows, at quantiles of their numbers of ids. Any bounds
+    give the same sequence."""
+    every, unknown, found = tokens.agg(F.count(F.lit(1)), F.count(F.when(F.col("doc_id").isNull(), 1)), F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()
+    times = {(True, d): m for d, m in Counter(found or []).items()}
+    if every and (m := n * unknown // every):
+        times[False, 0] = m
+    crowded = [d for (known, d), m in times.items() if known and m > 1]
+    some = tokens.filter(F.col("doc_id").isin(crowded) | F.col("doc_id").isNull()) if (False, 0) in times else tokens.filter(F.col("doc_id").isin(crowded))
+    grid = [i / _GRID for i in range(1, _GRID)]
+    sizes = {}
+    if crowded or (False, 0) in times:
+        sizes = {(r.doc_id is not None, r.doc_id or 0): r.q for r in some.groupBy("doc_id").agg(F.percentile_approx("n", grid, 20 * _GRID).alias("q")).collect()}  # at most 2n
+    out = set()
+    for key, m in times.items():
+        q = sizes.get(key)
+        out |= {(*key, q[j * len(q) // m]) for j in range(m)} if q else {(*key, 2**63 - 1)}
+    return sorted(out)
+
+
 def write(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, block: int = BLOCK, segment: int = SEGMENT) -> None:
     """Encodes every whole text, appends the end id and writes a store."""
     spark = documents.sparkSession
@@ -136,16 +160,16 @@ def write(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: i
     for r in arrow(tokens, _counted(size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
         counts[r.id] = r.n
     frequencies = quantised(counts).astype("<u4").tobytes()
-    n = partitions(spark)
-    # bounds of equally many documents by doc_id; any bounds give the same sequence
-    bounds = tokens.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
+    bounds = _bounds(tokens, partitions(spark))
     if bounds:
         # how many bounds are below, by steps of some bounds first: few comparisons a row, however many buckets
         step = max(1, int(len(bounds) ** 0.5))
-        edges = spark.createDataFrame([(bounds, bounds[step - 1 :: step])], "bounds array<long>, steps array<long>")  # one row
-        below = lambda values: F.size(F.filter(values, lambda b: b < F.col("doc_id")))
-        tokens = tokens.crossJoin(F.broadcast(edges)).withColumn("first", F.greatest(below(F.col("steps")), F.lit(0)) * step)
-        bucket = F.col("first") + F.greatest(below(F.slice("bounds", F.col("first") + 1, F.lit(step))), F.lit(0))
+        kind = "array<struct<known: boolean, doc_id: long, n: long>>"
+        edges = spark.createDataFrame([(bounds, bounds[step - 1 :: step])], f"bounds {kind}, steps {kind}")  # one row
+        key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("n").alias("n"))
+        below = lambda values: F.size(F.filter(values, lambda b: b < key))
+        tokens = tokens.crossJoin(F.broadcast(edges)).withColumn("first", below(F.col("steps")) * step)
+        bucket = F.col("first") + below(F.slice("bounds", F.col("first") + 1, F.lit(step)))
         tokens = tokens.withColumn("bucket", bucket.cast("int")).drop("bounds", "steps", "first")
     else:
         tokens = tokens.withColumn("bucket", F.lit(0))

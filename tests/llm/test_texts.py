@@ -338,3 +338,13 @@ def test_any_number_of_buckets_gives_the_same_sequence(spark, buckets):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
+
+
+def test_rows_of_one_doc_id_or_none_are_spread(spark):
+    rng = np.random.default_rng(2)
+    tokens = spark.createDataFrame([(None if i % 3 == 0 else 7 if i % 3 == 1 else i, int(rng.integers(1, 500))) for i in range(3000)], "doc_id long, n long")
+    bounds = rans_store._bounds(tokens, 30)
+    keys = [(r.doc_id is not None, r.doc_id or 0, r.n) for r in tokens.collect()]
+    held = np.bincount([sum(b < k for b in bounds) for k in keys])
+    assert bounds == sorted(bounds) and held.max() < 400 and len(bounds) <= 60
+    assert rans_store._bounds(tokens.limit(0), 30) == []
