@@ -46,12 +46,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For nodes 0 to n - 1: the smallest node that the edges a, b reach."""
     label = np.arange(n)
     while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        np.minimum.at(label, before[a], low)
-        np.minimum.at(label, before[b], low)
+        # only roots move, or a node would leave what it was joined with before
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
         while (label[label] != label).any():
             label = label[label]
         open_ = label[a] != label[b]

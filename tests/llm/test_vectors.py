@@ -106,6 +106,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_forest_matches_one_edge_at_a_time():
+    """Sparse graphs, in which chains join in several rounds, and shuffled paths."""
+    graphs = []
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        n, m = rng.integers(2, 60, 2)
+        graphs.append((int(n), rng.integers(0, n, m), rng.integers(0, n, m)))
+        path = rng.permutation(n)
+        graphs.append((int(n), path[:-1], path[1:]))
+    for n, a, b in graphs:
+        want = np.arange(n)
+        for x, y in zip(want[a], want[b], strict=True):
+            want[np.isin(want, [want[x], want[y]])] = min(want[x], want[y])
+        assert (forest(n, a, b) == want).all()
+
+
 def brute(rows, k=20):
     out = {}
     ok = [(i, v) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
