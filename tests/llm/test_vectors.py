@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from boundwise.llm import collision_search, pivot_index
+from boundwise.llm import components as components_module
 from boundwise.llm.common import table
 from boundwise.llm.components import components, forest
 from duck import assert_same
@@ -106,6 +107,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("order", ["up", "shuffled"])
+def test_long_chains_take_few_rounds(spark, order, monkeypatch):
+    nodes = np.arange(1000) if order == "up" else np.random.default_rng(3).permutation(1000)
+    names, save = [], components_module.save
+    monkeypatch.setattr(components_module, "save", lambda df, name: names.append(name) or save(df, name))
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(nodes[:-1], nodes[1:], strict=True)], "a long, b long")
+    assert {(r.node, r.component) for r in components(edges).collect()} == {(i, 0) for i in range(1000)}
+    assert names.count("edges") <= 1 + 10 and names.count("least") <= 10 * 11
+
+
 def test_forest_matches_one_edge_at_a_time():
     """Sparse graphs, in which chains join in several rounds, and shuffled paths."""
     graphs = []
